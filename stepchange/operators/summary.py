@@ -60,13 +60,17 @@ def dense_grid(
 ) -> DataFrame:
     """Every service, cell, date and band of the study.
 
-    Dates and bands are exploded on each cell, so no cross join is planned.
+    Dates and bands are exploded on each cell, so no cross join is planned. The
+    short list of cells and months is spread first, so many tasks explode it.
     """
+    spark = labels.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     months = month_starts(cfg.first_month, cfg.last_month) if months is None else list(months)
     first_days = F.explode(F.array(*[F.lit(month) for month in months]))
     return (
         valid_cells(labels, cfg)
         .select("*", first_days.alias("month"))
+        .repartition(tasks, cfg.origin, "dropoff_group", "month")
         .select(
             F.lit(cfg.service).alias("service"),
             cfg.origin,

@@ -1 +1,113 @@
 """Spatial and model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stepchange.operators import quality, spatial
+from stepchange.plans import driver_tables as tables
+from stepchange.plans.catalog import query, rounded
+from stepchange.plans.driver_tables import PARCEL_SIDE, SHAPES
+from stepchange.plans.oracle import cte
+
+# Zone shapes ----------------------------------------------------------------
+cte(
+    "parcels",
+    """select *, c_nationkey <= 3 and x0 < 6000 and y0 < 6000 as is_seed from (
+      select c_custkey as zone_id, c_mktsegment as name, c_nationkey,
+        cast(c_custkey * 7919 % 20011 as double) as x0,
+        cast(c_custkey * 104729 % 20021 as double) as y0 from customer)""",
+)
+# Distance of axis-parallel squares, which the general operator has to reproduce
+cte(
+    "parcel_labels",
+    f"""select *, case when in_cbd then 'cbd' when d <= {SHAPES.ring_distance_ft} then 'ring'
+        else 'control' end as zone_group,
+      case when in_cbd then 'cbd'
+        when d <= {SHAPES.ring_distance_ft} and d = 0 then 'ring_adjacent'
+        when d <= {SHAPES.ring_distance_ft} then 'ring_across'
+        when d <= {SHAPES.near_distance_ft} then 'control_near'
+        else 'control_far' end as zone_group_fine
+    from (select a.zone_id, a.name, a.is_seed as in_cbd,
+        round(min(sqrt(greatest(abs(a.x0 - b.x0) - {PARCEL_SIDE}, 0) ** 2
+          + greatest(abs(a.y0 - b.y0) - {PARCEL_SIDE}, 0) ** 2))) as d
+      from parcels a cross join (select x0, y0 from parcels where is_seed) b group by all)""",
+    "parcels",
+)
+
+
+@query(
+    "zone_segments",
+    f"""select zone_id, 0 as ring, seq::int as seq, x0 + {PARCEL_SIDE} * a as x1,
+      y0 + {PARCEL_SIDE} * b as y1, x0 + {PARCEL_SIDE} * c as x2, y0 + {PARCEL_SIDE} * d as y2
+    from parcels cross join (values (0, 0, 0, 1, 0), (1, 1, 0, 1, 1), (2, 1, 1, 0, 1),
+      (3, 0, 1, 0, 0)) v(seq, a, b, c, d)""",
+    "parcels",
+)
+def zone_segments(spark, folder):
+    return spatial.zone_segments(tables.parcel_vertices(spark, folder))
+
+
+def _parcel_labels(spark, folder):
+    lookup = tables.parcels(spark, folder).select("zone_id", "name")
+    return spatial.zone_labels(
+        lookup,
+        tables.parcel_vertices(spark, folder),
+        tables.parcel_seeds(spark, folder),
+        SHAPES,
+    )
+
+
+LABEL_COLUMNS = "zone_id, name, in_cbd, d as distance_to_seed_ft, zone_group, zone_group_fine"
+
+
+@query("zone_labels", f"select {LABEL_COLUMNS} from parcel_labels", "parcel_labels")
+def zone_labels(spark, folder):
+    return _parcel_labels(spark, folder)
+
+
+@query(
+    "ring_zones_sorted",
+    f"select {LABEL_COLUMNS} from parcel_labels where zone_group = 'ring'",
+    "parcel_labels",
+)
+def ring_zones_sorted(spark, folder):
+    ring = _parcel_labels(spark, folder).where(F.col("zone_group") == "ring")
+    return ring.orderBy("distance_to_seed_ft", "zone_id")
+
+
+@query(
+    "zone_area",
+    f"""select zone_id, {PARCEL_SIDE}::double * {PARCEL_SIDE} as area,
+      round({PARCEL_SIDE}::double * {PARCEL_SIDE} / 27878400, 3) as area_sq_mi from parcels""",
+    "parcels",
+)
+def zone_area(spark, folder):
+    return rounded(spatial.zone_area(tables.parcel_vertices(spark, folder)))
+
+
+@query(
+    "zone_bbox",
+    f"""select min(x0) - 500 as min_x, min(y0) - 300 as min_y, max(x0) + {PARCEL_SIDE} + 500 as max_x,
+      max(y0) + {PARCEL_SIDE} + 300 as max_y
+    from parcels join parcel_labels using (zone_id) where zone_group in ('cbd', 'ring')""",
+    "parcels",
+    "parcel_labels",
+)
+def zone_bbox(spark, folder):
+    near = _parcel_labels(spark, folder).where(F.col("zone_group").isin("cbd", "ring"))
+    return spatial.group_box(tables.parcel_vertices(spark, folder), near, 500, 300)
+
+
+@query(
+    "shared_names_area",
+    f"""select zone_id, name, zones, round({PARCEL_SIDE}::double * {PARCEL_SIDE} / 27878400, 3)
+      as area_sq_mi
+    from parcels join (select name, count(*) as zones from parcels group by 1 having count(*) > 1)
+      using (name)""",
+    "parcels",
+)
+def shared_names_area(spark, folder):
+    zones = quality.shared_names(tables.parcels(spark, folder), "name", "zone_id")
+    areas = spatial.zone_area(tables.parcel_vertices(spark, folder))
+    return zones.join(areas.select("zone_id", "area_sq_mi"), "zone_id")
