@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepchange.operators import quality, spatial
+from stepchange.operators import compare, did, quality, spatial
+from stepchange.plans import catalog
 from stepchange.plans import driver_tables as tables
 from stepchange.plans.catalog import query, rounded
-from stepchange.plans.driver_tables import PARCEL_SIDE, SHAPES
+from stepchange.plans.driver_tables import PARCEL_SIDE, SHAPES, STUDY
 from stepchange.plans.oracle import cte
+from stepchange.sources import files
 
 # Zone shapes ----------------------------------------------------------------
 cte(
@@ -111,3 +113,98 @@ def shared_names_area(spark, folder):
     zones = quality.shared_names(tables.parcels(spark, folder), "name", "zone_id")
     areas = spatial.zone_area(tables.parcel_vertices(spark, folder))
     return zones.join(areas.select("zone_id", "area_sq_mi"), "zone_id")
+
+
+# Difference-in-differences --------------------------------------------------
+
+
+def _panel(spark, folder):
+    return did.did_panel(catalog.model_table(spark, folder), STUDY)
+
+
+DUMMIES = """(trip_group = 'treated')::int::double as treated,
+      (trip_group = 'ring_adjacent')::int::double as ring_adjacent,
+      (trip_group = 'ring_across')::int::double as ring_across,
+      (trip_group_coarse = 'ring')::int::double as ring"""
+
+
+@query(
+    "did_panel",
+    f"""select PULocationID, dropoff_group, time_band, date, trip_group, trips, trips_with_earnings,
+      rain_mm, snow_mm, snow_depth_mm, temp_max_c, temp_min_c,
+      PULocationID || '|' || dropoff_group || '|' || time_band as cell,
+      strftime(date, '%Y-%m-%d') || '|' || time_band as date_band,
+      round(date_diff('day', date '1998-01-01', date) / 365.25, 6) as trend,
+      round(ln(median_earnings_per_engaged_hour), 6) as log_eph,
+      {DUMMIES}, treated * (date >= date '2000-01-05')::int as treated_after,
+      ring_adjacent * (date >= date '2000-01-05')::int as ring_adjacent_after,
+      ring_across * (date >= date '2000-01-05')::int as ring_across_after,
+      ring * (date >= date '2000-01-05')::int as ring_after
+    from model""",
+    "model",
+)
+def did_panel(spark, folder):
+    return rounded(_panel(spark, folder))
+
+
+@query(
+    "after_terms",
+    """select trip_group, date, count(*) as rows,
+      cast(sum((trip_group = 'treated' and date >= date '1999-01-05')::int) as double)
+        as treated_after,
+      cast(sum((trip_group_coarse = 'ring' and date >= date '1999-01-05')::int) as double)
+        as ring_after
+    from cube group by all""",
+    "cube",
+)
+def after_terms(spark, folder):
+    panel = did.set_intervention(_panel(spark, folder), STUDY.placebo)
+    return panel.groupBy("trip_group", "date").agg(
+        F.count("*").alias("rows"),
+        F.sum("treated_after").alias("treated_after"),
+        F.sum("ring_after").alias("ring_after"),
+    )
+
+
+@query("did_poisson")
+def did_poisson(spark, folder):
+    return did.did_checks(_panel(spark, folder), STUDY, ["trips"], ["headline"])
+
+
+@query("did_wls")
+def did_wls(spark, folder):
+    files.use_checkpoints(spark)
+    return did.did_checks(_panel(spark, folder), STUDY, ["log_eph"], ["headline"])
+
+
+@query("did_checks")
+def did_checks(spark, folder):
+    files.use_checkpoints(spark)
+    return did.did_checks(_panel(spark, folder), STUDY)
+
+
+@query("filtered_effects")
+def filtered_effects(spark, folder):
+    effects = did.did_checks(
+        _panel(spark, folder), STUDY, ["trips"], ["headline", "pooled ring", "placebo"]
+    )
+    return effects.where("check in ('headline', 'placebo') and term = 'all'")
+
+
+@query("event_study")
+def event_study(spark, folder):
+    return did.event_study(catalog.model_table(spark, folder), STUDY)
+
+
+@query("event_yoy")
+def event_yoy(spark, folder):
+    events = did.event_study(catalog.model_table(spark, folder), STUDY)
+    return compare.same_month_diff(events, ["group"], "effect_pct")
+
+
+@query("effect_dollars")
+def effect_dollars(spark, folder):
+    files.use_checkpoints(spark)
+    effects = did.did_checks(_panel(spark, folder), STUDY, ["log_eph"], ["headline"])
+    median = compare.median_before(catalog.analysed(spark, folder), STUDY)
+    return did.effect_dollars(effects, median)
