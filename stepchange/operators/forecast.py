@@ -1,17 +1,28 @@
-"""The no-intervention forecast."""
+"""The no-intervention forecast: features, boosted trees, accuracy and effects."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stepchange.config import StudyConfig
 from stepchange.functions import columns as C
+from stepchange.operators.compare import flag_busiest
 
 TARGETS = ("trips", "total_earnings")
 YEAR_OF_WEEKS = 364
+TWEEDIE_POWER = 1.5
+
+
+# Baseline and features ------------------------------------------------------
 
 
 def seasonal_naive(cube: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -33,3 +44,404 @@ def usual_level(train: DataFrame, targets: Mapping[str, str], cfg: StudyConfig)
             for target, name in targets.items()
         ]
     )
+
+
+def features(table: DataFrame, train: Column, target: str, cfg: StudyConfig) -> DataFrame:
+    """Model inputs of every row, with the target and a training flag.
+
+    ``usual`` is averaged over training rows only, so no later value leaks in; a
+    cell the training rows don't have gets null.
+    """
+    usual = usual_level(table.where(train), {target: "usual"}, cfg)
+    return table.join(usual, cfg.cell, "left").select(
+        *cfg.cell,
+        "date",
+        "trip_group",
+        "trip_group_coarse",
+        "day_of_week",
+        F.month("date").alias("month"),
+        F.col("is_holiday").cast("int").alias("is_holiday"),
+        *cfg.weather,
+        F.year("date").alias("year"),
+        "usual",
+        F.col(target).cast("double").alias("actual"),
+        train.alias("is_train"),
+    )
+
+
+# Boosted trees --------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class BoostParams:
+    """Boosting settings; the defaults stand in for 300 trees of 63 leaves."""
+
+    rounds: int = 300
+    learning_rate: float = 0.1
+    depth: int = 6
+    min_rows: int = 20
+    seed: int = 0
+    checkpoint_every: int = 10
+
+
+@dataclass
+class Boosted:
+    """Scored rows, the fitted trees and what turns them into a score."""
+
+    rows: DataFrame
+    base: float
+    params: BoostParams
+    inputs: list[str]
+    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def _encode(inputs: DataFrame, cfg: StudyConfig) -> tuple[DataFrame, list[str], int]:
+    """Vectors with nominal attributes for the categorical inputs."""
+    categorical = [*cfg.cell, "day_of_week", "month"]
+    numeric = ["is_holiday", *cfg.weather, "year", "usual"]
+    indexer = StringIndexer(
+        inputCols=categorical,
+        outputCols=[f"{name}_index" for name in categorical],
+        stringOrderType="alphabetAsc",
+        handleInvalid="keep",
+    )
+    known = inputs.withColumns({name: F.col(name).cast("string") for name in categorical})
+    model = indexer.fit(known.where("is_train"))
+    assembler = VectorAssembler(
+        inputCols=[f"{name}_index" for name in categorical] + numeric,
+        outputCol="features",
+    )
+    filled = known.fillna(0.0, subset=["usual"])
+    vectors = assembler.transform(model.transform(filled))
+    largest = max(len(labels) for labels in model.labelsArray) + 1
+    kept = inputs.select(*cfg.cell).schema
+    return (
+        vectors.select(
+            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in kept],
+            "date",
+            "trip_group",
+            "trip_group_coarse",
+            "actual",
+            "is_train",
+            "features",
+        ),
+        categorical + numeric,
+        largest,
+    )
+
+
+def _newton(target: str) -> tuple[Column, Column]:
+    """Gradient step and curvature of the loss at the current score (log link)."""
+    y, mu = F.col("actual"), F.exp("score")
+    if target == "trips":
+        return (y - mu) / mu, mu
+    p = TWEEDIE_POWER
+    gradient = y * F.pow(mu, 1 - p) - F.pow(mu, 2 - p)
+    curvature = (p - 1) * y * F.pow(mu, 1 - p) + (2 - p) * F.pow(mu, 2 - p)
+    return gradient / curvature, curvature
+
+
+def boost(
+    inputs: DataFrame, target: str, cfg: StudyConfig, params: BoostParams = BoostParams()
+) -> Boosted:
+    """Newton boosting: each round fits a weighted tree to the gradient steps.
+
+    A weighted tree's leaf mean of step = gradient / curvature is the Newton step
+    of that leaf. Training and other rows are scored together, round by round, so
+    no separate prediction pass over all trees is needed. Scores are kept between
+    rounds and checkpointed, so a lost executor never replays the whole history.
+    """
+    vectors, names, categories = _encode(inputs, cfg)
+    base = vectors.where("is_train").agg(F.log(F.avg("actual"))).first()[0]
+    if base is None:
+        raise ValueError(f"no positive {target} in the training rows")
+    step, curvature = _newton(target)
+    regressor = DecisionTreeRegressor(
+        featuresCol="features",
+        labelCol="step",
+        weightCol="weight",
+        predictionCol="leaf_step",
+        maxDepth=params.depth,
+        maxBins=max(32, categories),
+        minInstancesPerNode=params.min_rows,
+        seed=params.seed,
+    )
+    # Many small files or cells don't matter here: rows are spread once
+    rows = vectors.withColumn("score", F.lit(float(base))).persist(StorageLevel.MEMORY_AND_DISK)
+    result = Boosted(rows, float(base), params, names)
+    for number in range(1, params.rounds + 1):
+        train = rows.where("is_train").select(
+            "features", step.alias("step"), curvature.alias("weight")
+        )
+        tree = regressor.fit(train)
+        result.trees.append(tree)
+        moved = F.col("score") + params.learning_rate * F.col("leaf_step")
+        # A far score would overflow exp long before it meant anything
+        scored = (
+            tree.transform(rows)
+            .withColumn("score", F.least(F.greatest(moved, F.lit(-30.0)), F.lit(30.0)))
+            .drop("leaf_step")
+        )
+        if number % params.checkpoint_every == 0:
+            scored = scored.checkpoint()
+        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+        scored.count()
+        rows.unpersist()
+        rows = scored
+    result.rows = rows
+    return result
+
+
+def deviance(rows: DataFrame, target: str) -> DataFrame:
+    """Mean deviance of scored rows, split by training flag."""
+    y, mu = F.col("actual"), F.exp("score")
+    if target == "trips":
+        logs = F.when(y > 0, y * F.log(y / mu)).otherwise(0.0)
+        unit = 2 * (logs - (y - mu))
+    else:
+        p = TWEEDIE_POWER
+        unit = 2 * (
+            F.pow(y, 2 - p) / ((1 - p) * (2 - p))
+            - y * F.pow(mu, 1 - p) / (1 - p)
+            + F.pow(mu, 2 - p) / (2 - p)
+        )
+    return rows.groupBy("is_train").agg(F.avg(unit).alias("deviance"))
+
+
+def _predictions(model: Boosted, test: Column, cfg: StudyConfig) -> DataFrame:
+    return model.rows.where(test).select(
+        *cfg.cell,
+        "date",
+        "trip_group",
+        "trip_group_coarse",
+        "actual",
+        F.exp("score").alias("predicted"),
+    )
+
+
+def first_two_years(table: DataFrame) -> tuple[int, int]:
+    """The first two calendar years in the table."""
+    years = table.select(F.year("date").alias("year")).distinct().orderBy("year").head(2)
+    return years[0].year, years[1].year
+
+
+def year_split(
+    table: DataFrame, target: str, cfg: StudyConfig, params: BoostParams
+) -> tuple[Boosted, DataFrame]:
+    """Fit on the first calendar year, forecast the second."""
+    first, second = first_two_years(table)
+    year = F.year("date")
+    rows = table.where(year.isin(first, second))
+    model = boost(features(rows, year == first, target, cfg), target, cfg, params)
+    return model, _predictions(model, F.year("date") == second, cfg)
+
+
+def forecast(
+    table: DataFrame, target: str, cfg: StudyConfig, params: BoostParams = BoostParams()
+) -> tuple[Boosted, DataFrame]:
+    """Fit on every earlier calendar year, forecast the days from the start on.
+
+    Days of the start year before the start are in neither part.
+    """
+    year, day = F.year("date"), F.col("date")
+    train = year < cfg.intervention.year
+    rows = table.where(train | (day >= F.lit(cfg.intervention)))
+    model = boost(features(rows, train, target, cfg), target, cfg, params)
+    return model, _predictions(model, ~F.col("is_train"), cfg)
+
+
+# Accuracy -------------------------------------------------------------------
+
+
+def accuracy(
+    rows: DataFrame, actual: str = "actual", predicted: str = "predicted", keys: Sequence[str] = ()
+) -> DataFrame:
+    """MAE, RMSE and WMAPE (%). Rows without a forecast count in no error."""
+    error = F.col(predicted) - F.col(actual)
+    return rows.groupBy(*keys).agg(
+        F.avg(F.abs(error)).alias("mae"),
+        F.sqrt(F.avg(error * error)).alias("rmse"),
+        (C.ratio(F.sum(F.abs(error)), F.sum(actual)) * 100).alias("wmape_pct"),
+    )
+
+
+def baseline_scores(cube: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Accuracy of the 52-week baseline in the second calendar year."""
+    first, second = first_two_years(cube)
+    rows = seasonal_naive(cube.where(F.year("date").isin(first, second)), cfg).where(
+        F.year("date") == second
+    )
+    parts = [
+        accuracy(rows, target, f"naive_{target}").select(
+            F.lit(target).alias("target"),
+            F.lit("52-week baseline").alias("forecast"),
+            "mae",
+            "rmse",
+            "wmape_pct",
+        )
+        for target in TARGETS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def validate(table: DataFrame, cfg: StudyConfig, params: BoostParams = BoostParams()) -> DataFrame:
+    """Accuracy of the model and of the baseline, by target."""
+    parts = [baseline_scores(table, cfg)]
+    for target in TARGETS:
+        model, rows = year_split(table, target, cfg, params)
+        scores = accuracy(rows).select(
+            F.lit(target).alias("target"),
+            F.lit("model").alias("forecast"),
+            "mae",
+            "rmse",
+            "wmape_pct",
+        )
+        # One row: kept as data so the model's rows can be released
+        parts.append(table.sparkSession.createDataFrame(scores.collect(), scores.schema))
+        model.release()
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Effects --------------------------------------------------------------------
+
+
+def forecast_effect(
+    rows: DataFrame, group: str = "trip_group", by: Sequence[str] = ()
+) -> DataFrame:
+    """Gap between actual and forecast, and the gap relative to control rows."""
+    in_control = F.col("trip_group_coarse") == "control"
+    sums = rows.groupBy(*by, group).agg(
+        F.sum("actual").alias("actual"),
+        F.sum("predicted").alias("predicted"),
+        F.sum(F.when(in_control, F.col("actual"))).alias("control_actual"),
+        F.sum(F.when(in_control, F.col("predicted"))).alias("control_predicted"),
+    )
+    # One row a group by now: control totals over the groups of each split
+    split = W.partitionBy(*(by or [F.lit(0)]))
+    control = C.ratio(
+        F.sum("control_actual").over(split), F.sum("control_predicted").over(split)
+    )
+    gap = C.ratio(F.col("actual"), F.col("predicted"))
+    return sums.withColumn("control", control).select(
+        *by,
+        group,
+        ((gap - 1) * 100).alias("gap_pct"),
+        ((F.try_divide(gap, F.col("control")) - 1) * 100).alias("effect_pct"),
+    )
+
+
+def forecast_placebo(
+    table: DataFrame, cfg: StudyConfig, params: BoostParams = BoostParams()
+) -> DataFrame:
+    """Forecast effects in a year without an intervention: they should be near 0."""
+    found = []
+    for target in TARGETS:
+        model, rows = year_split(table, target, cfg, params)
+        effect = forecast_effect(rows)
+        small = table.sparkSession.createDataFrame(effect.collect(), effect.schema)
+        found.append(small.select(F.lit(target).alias("target"), *effect.columns))
+        model.release()
+    return found[0].unionByName(found[1])
+
+
+def zone_errors(
+    rows: DataFrame, table: DataFrame, cfg: StudyConfig, year: int, n: int = 8
+) -> DataFrame:
+    """The n origin zones with the largest absolute errors in trips."""
+    zone = cfg.origin
+    error = F.abs(F.col("predicted") - F.col("actual"))
+    zones = rows.groupBy(zone).agg(
+        F.sum("actual").alias("trips"),
+        F.sum("predicted").alias("predicted"),
+        F.sum(error).alias("abs_error"),
+    )
+    before = (
+        table.where(F.year("date") == year - 1).groupBy(zone).agg(F.sum("trips").alias("before"))
+    )
+    total = F.sum("abs_error").over(W.partitionBy(F.lit(0)))
+    return (
+        zones.withColumn("share", C.ratio(F.col("abs_error"), total) * 100)
+        .join(before, zone, "left")
+        .orderBy(F.col("abs_error").desc(), zone)
+        .limit(n)
+        .select(
+            zone,
+            F.col("share").alias("abs_error_share_pct"),
+            "trips",
+            "predicted",
+            ((C.ratio(F.col("predicted"), F.col("trips")) - 1) * 100).alias("bias_pct"),
+            ((C.ratio(F.col("trips"), F.col("before")) - 1) * 100).alias("change_pct"),
+        )
+    )
+
+
+def zone_band_gaps(
+    forecasts: Mapping[str, DataFrame], labels: DataFrame, cfg: StudyConfig, n: int = 15
+) -> DataFrame:
+    """Gap and control-adjusted effect of every origin zone and band, by target."""
+    keys = [cfg.origin, "time_band"]
+    parts = []
+    for target, rows in forecasts.items():
+        in_control = F.col("trip_group_coarse") == "control"
+        sums = rows.groupBy(*keys).agg(
+            F.sum("actual").alias("actual"),
+            F.sum("predicted").alias("predicted"),
+            F.sum(F.when(in_control, F.col("actual"))).alias("control_actual"),
+            F.sum(F.when(in_control, F.col("predicted"))).alias("control_predicted"),
+        )
+        band = W.partitionBy("time_band")
+        control = C.ratio(
+            F.sum("control_actual").over(band), F.sum("control_predicted").over(band)
+        )
+        gap = C.ratio(F.col("actual"), F.col("predicted"))
+        trips = [F.col("actual").alias("trips")] if target == "trips" else []
+        parts.append(
+            sums.withColumn("control", control).select(
+                *keys,
+                *trips,
+                ((gap - 1) * 100).alias(f"{target}_gap_pct"),
+                ((F.try_divide(gap, F.col("control")) - 1) * 100).alias(f"{target}_effect_pct"),
+            )
+        )
+    table = reduce(lambda left, right: left.join(right, keys, "left"), parts)
+    zone_totals = table.groupBy(cfg.origin).agg(F.sum("trips").alias("zone_trips"))
+    names = labels.select(F.col("LocationID").alias(cfg.origin), "Zone", "zone_group")
+    measures = [f"{target}_{kind}_pct" for target in forecasts for kind in ("gap", "effect")]
+    return (
+        table.join(flag_busiest(zone_totals, cfg.origin, "zone_trips", n), cfg.origin)
+        .join(names, cfg.origin, "left")
+        .select(
+            cfg.origin,
+            "Zone",
+            "zone_group",
+            "time_band",
+            "trips",
+            "zone_trips",
+            "shown",
+            *measures,
+        )
+    )
+
+
+def sort_gaps(gaps: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Busiest zone first, bands in name order within a zone."""
+    return gaps.orderBy(F.col("zone_trips").desc(), cfg.origin, "time_band")
+
+
+def shown_share(gaps: DataFrame) -> DataFrame:
+    """Percent of trips in the zones that are shown."""
+    shown = F.sum(F.when(F.col("shown"), F.col("trips")))
+    return gaps.agg((C.ratio(shown, F.sum("trips")) * 100).alias("shown_pct"))
+
+
+def heatmap_pivot(gaps: DataFrame, measures: Sequence[str], cfg: StudyConfig) -> DataFrame:
+    """Zones by bands for several measures, busiest zone first."""
+    return (
+        gaps.groupBy(cfg.origin, "Zone", "zone_trips")
+        .pivot("time_band", cfg.band_names)
+        .agg(*[F.first(measure).alias(measure) for measure in measures])
+        .orderBy(F.col("zone_trips").desc(), cfg.origin)
+    )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepchange.operators import compare, did, quality, spatial
+from stepchange.operators import attribution, compare, did, quality, report, spatial
+from stepchange.operators import forecast as forecasts
 from stepchange.plans import catalog
 from stepchange.plans import driver_tables as tables
 from stepchange.plans.catalog import query, rounded
@@ -208,3 +209,232 @@ def effect_dollars(spark, folder):
     effects = did.did_checks(_panel(spark, folder), STUDY, ["log_eph"], ["headline"])
     median = compare.median_before(catalog.analysed(spark, folder), STUDY)
     return did.effect_dollars(effects, median)
+
+
+# Forecast -------------------------------------------------------------------
+# Fewer, larger steps than the study's 300 rounds, on the same whole tables
+QUICK = forecasts.BoostParams(rounds=6, learning_rate=0.4, depth=5)
+
+cte(
+    "naive_rows",
+    """select *, trips::double as actual, naive_trips::double as predicted from naive
+    where date >= date '2000-01-05'""",
+    "naive",
+)
+
+
+def _naive_rows(spark, folder, target="trips"):
+    """The toll period with the 52-week baseline as its forecast."""
+    rows = forecasts.seasonal_naive(catalog.cube(spark, folder), STUDY)
+    return rows.where(F.col("date") >= F.lit(STUDY.intervention)).select(
+        *STUDY.cell,
+        "date",
+        "trip_group",
+        "trip_group_coarse",
+        F.col(target).cast("double").alias("actual"),
+        F.col(f"naive_{target}").cast("double").alias("predicted"),
+    )
+
+
+@query(
+    "forecast_features",
+    """select PULocationID, dropoff_group, time_band, date, trip_group, trip_group_coarse,
+      day_of_week, cast(month(date) as int) as month, is_holiday::int as is_holiday, rain_mm,
+      snow_mm, snow_depth_mm, temp_max_c, temp_min_c, cast(year(date) as int) as year,
+      round(avg(trips) filter (year(date) < 2000)
+        over (partition by PULocationID, dropoff_group, time_band), 6) as usual,
+      trips::double as actual, year(date) < 2000 as is_train
+    from model""",
+    "model",
+)
+def forecast_features(spark, folder):
+    train = F.year("date") < STUDY.intervention.year
+    return rounded(
+        forecasts.features(catalog.model_table(spark, folder), train, "trips", STUDY)
+    )
+
+
+def _scores(target: str) -> str:
+    error = f"(naive_{target} - {target})"
+    return f"""select '{target}' as target, '52-week baseline' as forecast,
+      round(avg(abs({error})), 6) as mae, round(sqrt(avg({error} * {error})), 6) as rmse,
+      round(sum(abs({error})) / sum({target}) * 100, 6) as wmape_pct
+    from naive where year(date) = 1999"""
+
+
+@query("baseline_scores", f"{_scores('trips')} union all {_scores('total_earnings')}", "naive")
+def baseline_scores(spark, folder):
+    return rounded(forecasts.baseline_scores(catalog.cube(spark, folder), STUDY))
+
+
+@query(
+    "accuracy",
+    """select trip_group, round(avg(abs(predicted - actual)), 6) as mae,
+      round(sqrt(avg((predicted - actual) ** 2)), 6) as rmse,
+      round(sum(abs(predicted - actual)) / sum(actual) * 100, 6) as wmape_pct
+    from naive_rows group by 1""",
+    "naive_rows",
+)
+def accuracy(spark, folder):
+    return rounded(forecasts.accuracy(_naive_rows(spark, folder), keys=["trip_group"]))
+
+
+@query(
+    "zone_errors",
+    """select PULocationID, round(e / sum(e) over () * 100, 6) as abs_error_share_pct, trips,
+      predicted, round((predicted / nullif(trips, 0) - 1) * 100, 6) as bias_pct,
+      round((trips / nullif(b, 0) - 1) * 100, 6) as change_pct
+    from (select PULocationID, sum(actual) as trips, sum(predicted) as predicted,
+        sum(abs(predicted - actual)) as e from naive_rows group by 1)
+    left join (select PULocationID, sum(trips) as b from cube where year(date) = 1999 group by 1)
+      using (PULocationID)
+    order by e desc, PULocationID limit 8""",
+    "naive_rows",
+    "cube",
+)
+def zone_errors(spark, folder):
+    rows = _naive_rows(spark, folder)
+    year = STUDY.intervention.year
+    return rounded(forecasts.zone_errors(rows, catalog.cube(spark, folder), STUDY, year))
+
+
+@query(
+    "forecast_effect",
+    """select time_band, trip_group_coarse, round((r - 1) * 100, 6) as gap_pct,
+      round((r / c - 1) * 100, 6) as effect_pct
+    from (select time_band, trip_group_coarse, sum(actual) / sum(predicted) as r
+      from naive_rows group by all)
+    join (select time_band, sum(actual) / sum(predicted) as c from naive_rows
+      where trip_group_coarse = 'control' group by 1) using (time_band)""",
+    "naive_rows",
+)
+def forecast_effect(spark, folder):
+    rows = _naive_rows(spark, folder)
+    return rounded(forecasts.forecast_effect(rows, "trip_group_coarse", ["time_band"]))
+
+
+cte(
+    "gaps",
+    """select * from (
+      select a.PULocationID, time_band, a.at_ as trips,
+        sum(a.at_) over (partition by a.PULocationID) as zone_trips,
+        (a.at_ / nullif(a.pt, 0) - 1) * 100 as trips_gap_pct,
+        (a.at_ / nullif(a.pt, 0) / (ct / cpt) - 1) * 100 as trips_effect_pct,
+        (a.ae / nullif(a.pe, 0) - 1) * 100 as total_earnings_gap_pct,
+        (a.ae / nullif(a.pe, 0) / (ce / cpe) - 1) * 100 as total_earnings_effect_pct
+      from (select PULocationID, time_band, sum(trips)::double as at_,
+          sum(naive_trips)::double as pt, sum(total_earnings) as ae,
+          sum(naive_total_earnings) as pe from naive_rows group by all) a
+      join (select time_band, sum(trips)::double as ct, sum(naive_trips)::double as cpt,
+          sum(total_earnings) as ce, sum(naive_total_earnings) as cpe from naive_rows
+        where trip_group_coarse = 'control' group by all) c using (time_band))""",
+    "naive_rows",
+)
+cte(
+    "named_gaps",
+    """select g.PULocationID, l.Zone, l.zone_group, g.time_band, g.trips, g.zone_trips,
+      dense_rank() over (order by g.zone_trips desc, g.PULocationID) <= 15 as shown,
+      round(trips_gap_pct, 6) as trips_gap_pct, round(trips_effect_pct, 6) as trips_effect_pct,
+      round(total_earnings_gap_pct, 6) as total_earnings_gap_pct,
+      round(total_earnings_effect_pct, 6) as total_earnings_effect_pct
+    from gaps g left join labels l on l.LocationID = g.PULocationID""",
+    "gaps",
+    "labels",
+)
+
+
+def _gaps(spark, folder):
+    rows = {target: _naive_rows(spark, folder, target) for target in forecasts.TARGETS}
+    return forecasts.zone_band_gaps(rows, tables.labels(spark, folder), STUDY)
+
+
+@query("zone_band_gaps", "select * from named_gaps", "named_gaps")
+def zone_band_gaps(spark, folder):
+    return rounded(forecasts.sort_gaps(_gaps(spark, folder), STUDY))
+
+
+@query(
+    "gap_medians",
+    """select zone_group, time_band, round(median(trips_gap_pct), 6) as trips_gap_pct,
+      round(median(total_earnings_gap_pct), 6) as total_earnings_gap_pct
+    from named_gaps where zone_group is not null group by all""",
+    "named_gaps",
+)
+def gap_medians(spark, folder):
+    gaps = rounded(_gaps(spark, folder)).where("zone_group is not null")
+    return rounded(
+        compare.group_medians(
+            gaps, ["zone_group", "time_band"], ["trips_gap_pct", "total_earnings_gap_pct"]
+        )
+    )
+
+
+@query(
+    "shown_share",
+    "select round(sum(trips) filter (shown) / sum(trips) * 100, 6) as shown_pct from named_gaps",
+    "named_gaps",
+)
+def shown_share(spark, folder):
+    return rounded(forecasts.shown_share(_gaps(spark, folder)))
+
+
+HEATMAP = ("trips_gap_pct", "total_earnings_gap_pct")
+
+
+@query(
+    "heatmap_pivot",
+    "select PULocationID, Zone, zone_trips, "
+    + ", ".join(
+        f"max({m}) filter (time_band = '{b}') as {b}_{m}" for b in STUDY.band_names for m in HEATMAP
+    )
+    + " from named_gaps group by all",
+    "named_gaps",
+)
+def heatmap_pivot(spark, folder):
+    return rounded(forecasts.heatmap_pivot(_gaps(spark, folder), HEATMAP, STUDY))
+
+
+@query("boosted_forecast")
+def boosted_forecast(spark, folder):
+    table = catalog.model_table(spark, folder)
+    train = F.year("date") < STUDY.intervention.year
+    model = forecasts.boost(
+        forecasts.features(table, train, "trips", STUDY), "trips", STUDY, QUICK
+    )
+    return rounded(forecasts.deviance(model.rows, "trips"))
+
+
+@query("validate")
+def validate(spark, folder):
+    return rounded(forecasts.validate(catalog.model_table(spark, folder), STUDY, QUICK))
+
+
+@query("forecast_placebo")
+def forecast_placebo(spark, folder):
+    return rounded(forecasts.forecast_placebo(catalog.model_table(spark, folder), STUDY, QUICK))
+
+
+@query("forecast")
+def forecast(spark, folder):
+    _, rows = forecasts.forecast(catalog.model_table(spark, folder), "trips", STUDY, QUICK)
+    return rounded(rows)
+
+
+@query("shap_importance")
+def shap_importance(spark, folder):
+    table = catalog.model_table(spark, folder)
+    model, _ = forecasts.forecast(table, "trips", STUDY, QUICK)
+    return rounded(attribution.shap_importance(model, STUDY))
+
+
+@query("model_comparison")
+def model_comparison(spark, folder):
+    files.use_checkpoints(spark)
+    table = catalog.model_table(spark, folder).persist()
+    effects = did.did_checks(
+        did.did_panel(table, STUDY), STUDY, checks=["headline", "by time band"]
+    )
+    rows = {
+        target: forecasts.forecast(table, target, STUDY, QUICK)[1] for target in forecasts.TARGETS
+    }
+    return rounded(report.comparison(effects, rows, STUDY))
