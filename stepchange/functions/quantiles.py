@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,26 @@ def group_quantiles(
     measures: Mapping[str, Column],
     probs: Sequence[float],
     cfg: StudyConfig,
+    counts: Sequence[Column] = (),
 ) -> DataFrame:
-    """Lower-rank quantiles of several measures, one array column a measure."""
-    if cfg.exact_medians:
-        return exact_quantiles(data, keys, measures, probs)
+    """Lower-rank quantiles of several measures, one array column a measure.
+
+    ``counts`` are further aggregates by the same keys. Sketched medians need one
+    pass over the data for everything; exact ones take a second pass.
+    """
     levels = F.array(*map(F.lit, probs))
-    return data.groupBy(*keys).agg(
-        *[
-            F.percentile_approx(value, levels, cfg.accuracy).alias(name)
-            for name, value in measures.items()
-        ]
-    )
+    if not cfg.exact_medians:
+        return data.groupBy(*keys).agg(
+            *counts,
+            *[
+                F.percentile_approx(value, levels, cfg.accuracy).alias(name)
+                for name, value in measures.items()
+            ],
+        )
+    found = exact_quantiles(data, keys, measures, probs)
+    if not counts:
+        return found
+    return data.groupBy(*keys).agg(*counts).join(found, list(keys), "left")
 
 
 def exact_quantiles(
@@ -55,8 +65,10 @@ def exact_quantiles(
     values = (
         data.select(*keys, F.explode(entries).alias("entry"))
         .select(*keys, "entry.measure", "entry.value")
-        .where(F.col("value").isNotNull())
-        .withColumn("bin", F.floor(F.col("value") / width))
+        .withColumn("bin", F.floor(F.col("value") * (1 / width)))
+        # Null keys find no partner in the join below. Stated here, both reads of
+        # these counts have one plan and share its shuffle
+        .where(reduce(Column.__and__, [F.col(k).isNotNull() for k in [*keys, "measure", "bin"]]))
         .groupBy(*keys, "measure", "bin", "value")
         .agg(F.count("*").alias("n"))
     )

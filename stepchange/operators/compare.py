@@ -79,11 +79,10 @@ def monthly_ratio(relative: DataFrame, cfg: StudyConfig, group: str = "treated")
     """One group's index laid out as month of year by year."""
     return (
         relative.where(F.col("service") == cfg.service)
+        .withColumn("year", F.year("month"))
         .groupBy(F.month("month").alias("month_of_year"))
         .pivot("year", cfg.years)
         .agg(F.avg(group))
-        if "year" in relative.columns
-        else monthly_ratio(relative.withColumn("year", F.year("month")), cfg, group)
     )
 
 
@@ -155,10 +154,14 @@ def zone_medians(trips: DataFrame, cfg: StudyConfig) -> DataFrame:
     keys = [cfg.origin, "period"]
     rows = add_period(trips, cfg).where(F.col("period").isNotNull())
     medians = group_quantiles(
-        rows, keys, {"median": F.col("earnings_per_engaged_hour")}, [0.5], cfg
-    )
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("trips"))
-    return counts.join(medians, keys, "left").select(
+        rows,
+        keys,
+        {"median": F.col("earnings_per_engaged_hour")},
+        [0.5],
+        cfg,
+        [F.count("*").alias("trips")],
+    )
+    return medians.select(
         *keys, "trips", F.col("median")[0].alias("median_earnings_per_engaged_hour")
     )
 
@@ -325,22 +328,20 @@ def engaged_hour(trips: DataFrame, cfg: StudyConfig) -> DataFrame:
         .where(F.col("pickup_group").isNotNull() & F.col("period").isNotNull())
     )
     shared = C.is_true(F.col(cfg.shared) == "Y").cast("int")
-    shares = rows.groupBy(*keys).agg(
-        F.count("*").alias("trips"),
-        (F.avg(shared) * 100).alias("shared_pct"),
-        (C.ratio(F.count("earnings_per_engaged_hour"), F.count("*")) * 100).alias("eph_known_pct"),
-    )
+    shares = {
+        "trips": F.count("*"),
+        "shared_pct": F.avg(shared) * 100,
+        "eph_known_pct": C.ratio(F.count("earnings_per_engaged_hour"), F.count("*")) * 100,
+    }
     measures = {
         "median_speed_mph": F.col("speed_mph"),
         "median_trip_miles": F.col(cfg.distance),
         "median_trip_minutes": F.col("trip_seconds") / 60,
         "median_earnings_per_engaged_hour": F.col("earnings_per_engaged_hour"),
     }
-    medians = group_quantiles(rows, keys, measures, [0.5], cfg)
-    table = shares.join(medians, keys, "left")
-    return table.select(
-        *shares.columns, *[F.col(name)[0].alias(name) for name in measures]
-    )
+    counts = [value.alias(name) for name, value in shares.items()]
+    table = group_quantiles(rows, keys, measures, [0.5], cfg, counts)
+    return table.select(*keys, *shares, *[F.col(name)[0].alias(name) for name in measures])
 
 
 def pickup_group_order(cfg: StudyConfig) -> list[tuple[str, str]]:
@@ -383,17 +384,16 @@ def pickup_wait(trips: DataFrame, cfg: StudyConfig) -> DataFrame:
     rows = trips.select(
         F.trunc("date", "month").alias("month"), "trip_group_coarse", (seconds / 60).alias("wait")
     )
-    counts = rows.groupBy(*keys).agg(
-        F.count("*").alias("trips"), C.count_true(F.col("wait") < 0).alias("negative")
-    )
-    usable = {"wait": F.when(F.col("wait") >= 0, F.col("wait"))}
-    levels = group_quantiles(rows, keys, usable, [0.5, 0.9], cfg)
+    counts = [F.count("*").alias("trips"), C.count_true(F.col("wait") < 0).alias("negative")]
+    usable = {"usable": F.when(F.col("wait") >= 0, F.col("wait"))}
     return (
-        counts.join(levels, keys, "left")
+        group_quantiles(rows, keys, usable, [0.5, 0.9], cfg, counts)
         .select(
-            *counts.columns,
-            F.col("wait")[0].alias("median_wait_min"),
-            F.col("wait")[1].alias("p90_wait_min"),
+            *keys,
+            "trips",
+            "negative",
+            F.col("usable")[0].alias("median_wait_min"),
+            F.col("usable")[1].alias("p90_wait_min"),
         )
         .orderBy(*keys)
     )
@@ -450,14 +450,12 @@ def crosstab_margins(data: DataFrame, rows: str, columns: str, values: Sequence[
 
 def trips_by_year(cube: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Trips by service and trip group, one column a year."""
-    wide = (
-        cube.groupBy("service", "trip_group")
+    return (
+        cube.withColumn("year", F.year("date"))
+        .groupBy("service", "trip_group")
         .pivot("year", cfg.years)
         .agg(F.sum("trips"))
-        if "year" in cube.columns
-        else trips_by_year(cube.withColumn("year", F.year("date")), cfg)
     )
-    return wide
 
 
 def row_shares(data: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:

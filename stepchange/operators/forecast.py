@@ -379,37 +379,47 @@ def zone_errors(
 
 
 def zone_band_gaps(
-    forecasts: Mapping[str, DataFrame], labels: DataFrame, cfg: StudyConfig, n: int = 15
+    rows: DataFrame,
+    labels: DataFrame,
+    cfg: StudyConfig,
+    n: int = 15,
+    targets: Sequence[str] = TARGETS,
 ) -> DataFrame:
-    """Gap and control-adjusted effect of every origin zone and band, by target."""
-    keys = [cfg.origin, "time_band"]
-    parts = []
-    for target, rows in forecasts.items():
-        in_control = F.col("trip_group_coarse") == "control"
-        sums = rows.groupBy(*keys).agg(
-            F.sum("actual").alias("actual"),
-            F.sum("predicted").alias("predicted"),
-            F.sum(F.when(in_control, F.col("actual"))).alias("control_actual"),
-            F.sum(F.when(in_control, F.col("predicted"))).alias("control_predicted"),
-        )
-        band = W.partitionBy("time_band")
+    """Gap and control-adjusted effect of every origin zone and band, by target.
+
+    ``rows`` are forecasts stacked with a ``target`` column, so every target is
+    summed in one pass.
+    """
+    in_control = F.col("trip_group_coarse") == "control"
+    sums, measures = [], {}
+    band = W.partitionBy("time_band")
+    for target in targets:
+        own = F.col("target") == target
+        for value in ("actual", "predicted"):
+            sums.append(F.sum(F.when(own, F.col(value))).alias(f"{target}_{value}"))
+            sums.append(
+                F.sum(F.when(own & in_control, F.col(value))).alias(f"{target}_control_{value}")
+            )
+        gap = C.ratio(F.col(f"{target}_actual"), F.col(f"{target}_predicted"))
         control = C.ratio(
-            F.sum("control_actual").over(band), F.sum("control_predicted").over(band)
+            F.sum(f"{target}_control_actual").over(band),
+            F.sum(f"{target}_control_predicted").over(band),
         )
-        gap = C.ratio(F.col("actual"), F.col("predicted"))
-        trips = [F.col("actual").alias("trips")] if target == "trips" else []
-        parts.append(
-            sums.withColumn("control", control).select(
-                *keys,
-                *trips,
-                ((gap - 1) * 100).alias(f"{target}_gap_pct"),
-                ((F.try_divide(gap, F.col("control")) - 1) * 100).alias(f"{target}_effect_pct"),
-            )
+        measures[f"{target}_gap_pct"] = (gap - 1) * 100
+        measures[f"{target}_effect_pct"] = (F.try_divide(gap, control) - 1) * 100
+    # One row a zone and band from here on
+    table = (
+        rows.groupBy(cfg.origin, "time_band")
+        .agg(*sums)
+        .select(
+            cfg.origin,
+            "time_band",
+            F.col("trips_actual").alias("trips"),
+            *[measure.alias(name) for name, measure in measures.items()],
         )
-    table = reduce(lambda left, right: left.join(right, keys, "left"), parts)
+    )
     zone_totals = table.groupBy(cfg.origin).agg(F.sum("trips").alias("zone_trips"))
     names = labels.select(F.col("LocationID").alias(cfg.origin), "Zone", "zone_group")
-    measures = [f"{target}_{kind}_pct" for target in forecasts for kind in ("gap", "effect")]
     return (
         table.join(flag_busiest(zone_totals, cfg.origin, "zone_trips", n), cfg.origin)
         .join(names, cfg.origin, "left")

@@ -207,26 +207,20 @@ def boundary_distance(vertices: DataFrame, seeds: DataFrame) -> DataFrame:
         F.max("by2").alias("by2"),
     )
     frontier = zone_boxes(vertices).withColumns({"tx": F.lit(0), "ty": F.lit(0)})
+    halves = F.array(F.lit(0), F.lit(1))
     for level in range(1, TILE_LEVELS + 1):
-        children = _tile_tree(tiles, level).select(
-            F.shiftright("tx", 1).alias("parent_x"),
-            F.shiftright("ty", 1).alias("parent_y"),
-            F.col("tx").alias("child_x"),
-            F.col("ty").alias("child_y"),
-            *BOX,
-        )
-        below = (F.col("tx") == F.col("parent_x")) & (F.col("ty") == F.col("parent_y"))
-        frontier = _prune(
-            frontier.select("zone_id", *ZONE_BOX, "tx", "ty")
-            .join(F.broadcast(children), below)
+        children = (
+            frontier.select("zone_id", *ZONE_BOX, "tx", "ty", F.explode(halves).alias("right"))
+            .select("*", F.explode(halves).alias("upper"))
             .select(
                 "zone_id",
                 *ZONE_BOX,
-                F.col("child_x").alias("tx"),
-                F.col("child_y").alias("ty"),
-                *BOX,
+                (F.col("tx") * 2 + F.col("right")).alias("tx"),
+                (F.col("ty") * 2 + F.col("upper")).alias("ty"),
             )
         )
+        occupied = F.broadcast(_tile_tree(tiles, level))
+        frontier = _prune(children.join(occupied, ["tx", "ty"]))
     nearby = _prune(frontier.drop(*BOX).join(leaves, ["tx", "ty"])).select(
         "zone_id", "sx1", "sy1", "sx2", "sy2"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,14 @@ def cube(spark: SparkSession, folder: str) -> DataFrame:
     return summary.build_cube(raw_trips(spark, folder), zone_labels(spark, folder), STUDY)
 
 
+def kept_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """The cube, kept for queries that read it more than once.
+
+    It is a few rows a cell and date, however many trips there are.
+    """
+    return cube(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def weather(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.daily_covariates(tables.station(spark, folder), STUDY)
 
@@ -73,6 +82,11 @@ def model_table(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.model_table(cube(spark, folder), weather(spark, folder), STUDY)
 
 
+def kept_model_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The model table, kept for queries that fit several models to it."""
+    return model_table(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def zone_change(spark: SparkSession, folder: str) -> DataFrame:
     medians = compare.zone_medians(analysed(spark, folder), STUDY)
     return compare.zone_change(cube(spark, folder), medians, STUDY)
@@ -250,7 +264,7 @@ def recompact(spark, folder):
     "periods",
 )
 def keyed_union(spark, folder):
-    data = cube(spark, folder)
+    data = kept_cube(spark, folder)
     parts = {
         key: compare.group_change(data, [column], STUDY).withColumnRenamed(column, "name")
         for key, column in (("fine", "trip_group"), ("coarse", "trip_group_coarse"))
@@ -1332,7 +1346,7 @@ def flag_cardinality(spark, folder):
     "model",
 )
 def join_shapes(spark, folder):
-    return enrich.join_shapes(cube(spark, folder), weather(spark, folder), STUDY)
+    return enrich.join_shapes(kept_cube(spark, folder), weather(spark, folder), STUDY)
 
 
 @query(

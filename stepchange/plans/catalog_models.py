@@ -264,7 +264,7 @@ def _scores(target: str) -> str:
 
 @query("baseline_scores", f"{_scores('trips')} union all {_scores('total_earnings')}", "naive")
 def baseline_scores(spark, folder):
-    return rounded(forecasts.baseline_scores(catalog.cube(spark, folder), STUDY))
+    return rounded(forecasts.baseline_scores(catalog.kept_cube(spark, folder), STUDY))
 
 
 @query(
@@ -344,7 +344,24 @@ cte(
 
 
 def _gaps(spark, folder):
-    rows = {target: _naive_rows(spark, folder, target) for target in forecasts.TARGETS}
+    naive = forecasts.seasonal_naive(catalog.cube(spark, folder), STUDY).where(
+        F.col("date") >= F.lit(STUDY.intervention)
+    )
+    targets = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(target).alias("target"),
+                    F.col(target).cast("double").alias("actual"),
+                    F.col(f"naive_{target}").cast("double").alias("predicted"),
+                )
+                for target in forecasts.TARGETS
+            ]
+        )
+    ).alias("t")
+    rows = naive.select(STUDY.origin, "time_band", "trip_group_coarse", targets).select(
+        STUDY.origin, "time_band", "trip_group_coarse", "t.*"
+    )
     return forecasts.zone_band_gaps(rows, tables.labels(spark, folder), STUDY)
 
 
@@ -406,12 +423,12 @@ def boosted_forecast(spark, folder):
 
 @query("validate")
 def validate(spark, folder):
-    return rounded(forecasts.validate(catalog.model_table(spark, folder), STUDY, QUICK))
+    return rounded(forecasts.validate(catalog.kept_model_table(spark, folder), STUDY, QUICK))
 
 
 @query("forecast_placebo")
 def forecast_placebo(spark, folder):
-    return rounded(forecasts.forecast_placebo(catalog.model_table(spark, folder), STUDY, QUICK))
+    return rounded(forecasts.forecast_placebo(catalog.kept_model_table(spark, folder), STUDY, QUICK))
 
 
 @query("forecast")
@@ -430,7 +447,7 @@ def shap_importance(spark, folder):
 @query("model_comparison")
 def model_comparison(spark, folder):
     files.use_checkpoints(spark)
-    table = catalog.model_table(spark, folder).persist()
+    table = catalog.kept_model_table(spark, folder)
     effects = did.did_checks(
         did.did_panel(table, STUDY), STUDY, checks=["headline", "by time band"]
     )
