@@ -16,6 +16,8 @@ def seconds_between(start: Column, end: Column, timezone: str) -> Column:
     A trip over a daylight-saving change gets its true length, whatever the
     session time zone is.
     """
+    if timezone == "UTC":
+        return F.timestamp_diff("SECOND", start, end)
     zone, utc = F.lit(timezone), F.lit("UTC")
     return F.timestamp_diff(
         "SECOND",

@@ -77,8 +77,15 @@ def rules(cfg: StudyConfig) -> list[Rule]:
 
 
 def clean(data: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Rows that pass every rule."""
-    return data.where(reduce(Column.__and__, (C.is_true(rule.keep) for rule in rules(cfg))))
+    """Rows that pass every rule.
+
+    A filter drops null results by itself, so the conditions stay bare and those
+    on stored columns reach the parquet reader. They come first: the rules on
+    derived times only see the rows that are left.
+    """
+    derived = {"pickup_in_file_month", "dropoff_after_pickup", "trip_length", "speed_cap"}
+    ordered = sorted(rules(cfg), key=lambda rule: rule.name in derived)
+    return data.where(reduce(Column.__and__, (rule.keep for rule in ordered)))
 
 
 def cleaning_funnel(data: DataFrame, cfg: StudyConfig, raw_columns: int | str) -> DataFrame:

@@ -88,8 +88,10 @@ def kept_model_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def zone_change(spark: SparkSession, folder: str) -> DataFrame:
-    medians = compare.zone_medians(analysed(spark, folder), STUDY)
-    return compare.zone_change(cube(spark, folder), medians, STUDY)
+    data, zones = analysed(spark, folder), zone_labels(spark, folder)
+    medians = compare.zone_medians(data, STUDY)
+    dense = summary.summary_cube(summary.summarise(data, STUDY), zones, STUDY)
+    return compare.zone_change(dense, medians, STUDY)
 
 
 def named_change(spark: SparkSession, folder: str) -> DataFrame:

@@ -223,9 +223,9 @@ cte(
 )
 
 
-def _naive_rows(spark, folder, target="trips"):
+def _naive_rows(cube, target="trips"):
     """The toll period with the 52-week baseline as its forecast."""
-    rows = forecasts.seasonal_naive(catalog.cube(spark, folder), STUDY)
+    rows = forecasts.seasonal_naive(cube, STUDY)
     return rows.where(F.col("date") >= F.lit(STUDY.intervention)).select(
         *STUDY.cell,
         "date",
@@ -276,7 +276,8 @@ def baseline_scores(spark, folder):
     "naive_rows",
 )
 def accuracy(spark, folder):
-    return rounded(forecasts.accuracy(_naive_rows(spark, folder), keys=["trip_group"]))
+    rows = _naive_rows(catalog.cube(spark, folder))
+    return rounded(forecasts.accuracy(rows, keys=["trip_group"]))
 
 
 @query(
@@ -293,9 +294,9 @@ def accuracy(spark, folder):
     "cube",
 )
 def zone_errors(spark, folder):
-    rows = _naive_rows(spark, folder)
+    cube = catalog.kept_cube(spark, folder)
     year = STUDY.intervention.year
-    return rounded(forecasts.zone_errors(rows, catalog.cube(spark, folder), STUDY, year))
+    return rounded(forecasts.zone_errors(_naive_rows(cube), cube, STUDY, year))
 
 
 @query(
@@ -309,7 +310,7 @@ def zone_errors(spark, folder):
     "naive_rows",
 )
 def forecast_effect(spark, folder):
-    rows = _naive_rows(spark, folder)
+    rows = _naive_rows(catalog.cube(spark, folder))
     return rounded(forecasts.forecast_effect(rows, "trip_group_coarse", ["time_band"]))
 
 
