@@ -786,7 +786,9 @@ def did_checks(
     """Effects of every fit on both outcomes, with the rows each fit used."""
     fits = [fit for fit in check_fits(cfg) if checks is None or fit.check in checks]
     estimators = {"trips": fit_trips, "log_eph": fit_pay}
-    panel = panel.persist(StorageLevel.MEMORY_AND_DISK)
+    # Only what the estimators read is kept
+    needed = [*cfg.cell, "date", "trip_group", "trips", "trips_with_earnings", "log_eph"]
+    panel = panel.select(*needed, *cfg.weather).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = [row for outcome in outcomes for row in estimators[outcome](panel, fits, cfg)]
     finally:

@@ -92,11 +92,14 @@ def cleaning_funnel(data: DataFrame, cfg: StudyConfig, raw_columns: int | str) -
     """Rows left after each rule, from one aggregate over the data."""
     steps = rules(cfg)
     kept_columns = str(len(cfg.columns))
-    passed, counts = F.lit(True), []
-    for number, rule in enumerate(steps):
-        passed = passed & C.is_true(rule.keep)
-        counts.append(F.count_if(passed).alias(f"s{number}"))
-    totals = data.agg(F.count("*").alias("raw"), *counts)
+    # Position of the first failed rule, so no condition is evaluated twice
+    failed = C.first_match(
+        ((~C.is_true(rule.keep), number) for number, rule in enumerate(steps)), len(steps)
+    )
+    counts = [
+        F.count_if(F.col("failed") > number).alias(f"s{number}") for number in range(len(steps))
+    ]
+    totals = data.select(failed.alias("failed")).agg(F.count("*").alias("raw"), *counts)
 
     def entry(position: int, step: str, reason: str, width: str, rows: str) -> Column:
         return F.struct(
