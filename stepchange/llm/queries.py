@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepchange.llm import line_dedup, mixing
+from stepchange.llm import decontaminate, line_dedup, mixing, near_dup, suffix_dedup
 from stepchange.llm.common import table
 
 
@@ -16,5 +16,17 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mix_sources)}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL}
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mix_sources, op6_near_dup, op7_decontaminate, op8_suffix_dedup)}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op6_near_dup": near_dup.ORACLE_SQL, "op7_decontaminate": decontaminate.ORACLE_SQL}
