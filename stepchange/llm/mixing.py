@@ -20,7 +20,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
 #: Documents that one range of keys holds about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 _DIGITS = 13  # hex digits of a key: 52 bits
 
 
