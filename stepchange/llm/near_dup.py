@@ -7,8 +7,8 @@
 3. In each bucket one hub, the node that shares most buckets with others, is paired with the
    rest: a bucket of n nodes gives n-1 edges, not n*n/2. Edges are checked on the full sets.
 4. Linked nodes are joined into components. A bucket whose nodes are in several components
-   gets more hubs, twice as many in each round, until each of its nodes was one or all are
-   joined, so no pair that shares a bucket is lost; most buckets are done after one round.
+   gets more hubs, GROWTH times as many in each round, until each of its nodes was one or all
+   are joined, so no pair that shares a bucket is lost; most buckets are done after one round.
    What can be lost is a pair that shares no bucket: (1 - 0.75^6)^64, 4 in a million, at 0.75.
 
 Signatures and edges are tables in the shared folder; nothing of a document's size reaches
@@ -30,6 +30,7 @@ SHINGLE = 5
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
 SIMILARITY = 75  # of 100
+GROWTH = 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -144,8 +145,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def links(documents: DataFrame, nodes: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """(node, root) of the linked nodes among (node, n_shingles, bands); a node's text is that of its doc_id."""
+def links(documents: DataFrame, nodes: DataFrame, known: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """(node, root) of the linked nodes among (node, n_shingles, bands); a node's text is that of its doc_id.
+
+    known: links (a, b) that need no check.
+    """
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     live = written(members.join(sizes, "bucket"), "members")
@@ -155,13 +159,14 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = SIMILARITY) ->
     kind = documents.schema["doc_id"].dataType.simpleString()
     texts = _texts(documents).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = written(texts.mapInArrow(_full_sets, f"doc_id {kind}, shingles array<long>"), "sets")
-    roots, hubs, tested, good, turn = None, None, None, None, 0
+    good, hubs, tested, turn = known, None, None, 0
+    roots = None if known.isEmpty() else components(known)
     while True:
         state = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = state.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         state = state.join(several, "bucket")
         fresh = state if hubs is None else state.join(hubs, ["bucket", "node"], "left_anti")
-        part = F.pmod(F.xxhash64("node"), F.lit(1 << min(turn, 30)))
+        part = F.pmod(F.xxhash64("node"), F.lit(GROWTH ** min(turn, 12)))
         best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "root", "n_shingles")).alias("best")
         chosen = fresh.groupBy("bucket", part.alias("part")).agg(best)
         chosen = written(chosen.select("bucket", (-F.col("best.minus")).alias("hub"), F.col("best.root").alias("hub_root"), F.col("best.n_shingles").alias("hub_n")), "hubs")
@@ -184,8 +189,9 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = SIMILARITY) ->
         hubs = own if hubs is None else hubs.unionByName(own)
         tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
         passed = checked.where("ok").select("a", "b")
-        good = passed if good is None else good.unionByName(passed)
-        roots = components(good)
+        if not passed.isEmpty():
+            good = good.unionByName(passed)
+            roots = components(good)
         turn += 1
     return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
@@ -203,15 +209,20 @@ def near_duplicates(documents: DataFrame, percent: int = SIMILARITY) -> DataFram
     sketches = written(_texts(documents).mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches")
     real = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["s1", "s2", "n_shingles"]
-    classes = real.groupBy(*key).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
-    # A class's bands are those of any of its documents: the smallest one's
-    own = real.join(classes.select(*key, "node"), key).where("doc_id = node").select("node", "n_shingles", "s1", "s2", "bands").dropDuplicates(["node", "s1", "s2"])
-    roots = links(documents, own.select("node", "n_shingles", "bands"), percent)
-    # Documents stand next to their class's node; ids with several sets tie their classes together
-    ties = real.join(classes.where("node <> last").select(*key, "node"), key).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    rooted = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(ties))
-    result = sketches.join(rooted.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    classes = written(real.groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
+    # A class's bands are those of its smallest document
+    own = real.join(classes, key).where("doc_id = node").select("node", *key, "bands").dropDuplicates(["node", "s1", "s2"])
+    # An id with several sets ties their classes together
+    several = real.groupBy("doc_id").agg((F.min(F.struct(*key)) != F.max(F.struct(*key))).alias("several")).where("several").select("doc_id")
+    ties = real.join(several, "doc_id", "left_semi").join(classes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    roots = links(documents, own.select("node", "n_shingles", "bands"), written(ties, "ties"), percent)
+    # A class without links is its own component; an id that ties classes is a node itself
+    rooted = classes.join(roots, "node", "left").select(*[F.col(c).alias(f"of_{c}") for c in key], F.coalesce("root", "node").alias("root"))
+    same = F.lit(True)
+    for c in key:
+        same = same & (F.col(c) == F.col(f"of_{c}"))
+    result = sketches.select("doc_id", *key).join(rooted, same & F.col("doc_id").isNotNull(), "left")
+    component = F.coalesce("root", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
