@@ -10,18 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepchange.llm.common import written
+
 LINES = 3
 
 
 def _window_hashes(lines: Column, n: int) -> Column:
-    """For each window of n lines with some non-blank line: its first line's number and two hashes."""
+    """For each window of n lines with some non-blank line: its first line's number and two hashes of its lines'."""
+    numbers = F.when(F.size(lines) >= n, F.sequence(F.lit(0), F.size(lines) - n)).otherwise(F.array().cast("array<int>"))
 
-    def window(i: Column) -> Column:
-        text = F.concat_ws("\n", F.slice(lines, i + 1, n))
-        return F.struct(i.alias("at"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), (F.trim(text) != "").alias("live"))
+    def hashed(line: Column) -> Column:
+        return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), (F.trim(line) != "").alias("live"))
 
-    numbers = F.when(F.size(lines) >= n, F.sequence(F.lit(0), F.size(lines) - n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(numbers, window), lambda w: w["live"])
+    def window(each: Column, i: Column) -> Column:
+        part = F.slice(each, i + 1, n)
+        return F.struct(i.alias("at"), F.xxhash64(part["h1"]).alias("h1"), F.xxhash64(part["h2"]).alias("h2"), F.exists(part["live"], lambda x: x).alias("live"))
+
+    # The lines' hashes are an array of one element, so that each line is hashed once
+    return F.flatten(F.transform(F.array(F.transform(lines, hashed)), lambda each: F.filter(F.transform(numbers, lambda i: window(each, i)), lambda w: w["live"])))
 
 
 def duplicate_lines(documents: DataFrame, n: int = LINES) -> DataFrame:
@@ -39,6 +45,7 @@ def duplicate_lines(documents: DataFrame, n: int = LINES) -> DataFrame:
         .select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_window_hashes(lines, n)).alias("w"))
         .select("doc_id", "text_hash", "w.at", "w.h1", "w.h2")
     )
+    windows = written(windows, "windows")
     place = F.struct("doc_id", "text_hash", "at")
     # The greatest place tells whether there is a second one: a text read twice is not
     firsts = (
