@@ -47,6 +47,47 @@ WEATHER = ("rain_mm", "snow_mm", "snow_depth_mm", "temp_max_c", "temp_min_c")
 # End of fixed values --------------------------------------------------------
 
 
+# US federal holidays 2023-2025, observed weekdays included -----
+US_HOLIDAYS = (
+    date(2023, 1, 1),
+    date(2023, 1, 2),
+    date(2023, 1, 16),
+    date(2023, 2, 20),
+    date(2023, 5, 29),
+    date(2023, 6, 19),
+    date(2023, 7, 4),
+    date(2023, 9, 4),
+    date(2023, 10, 9),
+    date(2023, 11, 10),
+    date(2023, 11, 11),
+    date(2023, 11, 23),
+    date(2023, 12, 25),
+    date(2024, 1, 1),
+    date(2024, 1, 15),
+    date(2024, 2, 19),
+    date(2024, 5, 27),
+    date(2024, 6, 19),
+    date(2024, 7, 4),
+    date(2024, 9, 2),
+    date(2024, 10, 14),
+    date(2024, 11, 11),
+    date(2024, 11, 28),
+    date(2024, 12, 25),
+    date(2025, 1, 1),
+    date(2025, 1, 20),
+    date(2025, 2, 17),
+    date(2025, 5, 26),
+    date(2025, 6, 19),
+    date(2025, 7, 4),
+    date(2025, 9, 1),
+    date(2025, 10, 13),
+    date(2025, 11, 11),
+    date(2025, 11, 27),
+    date(2025, 12, 25),
+)
+# End of fixed values --------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class StudyConfig:
     """One study. The defaults describe the 2025 New York toll."""
@@ -91,7 +132,7 @@ class StudyConfig:
     histogram_specs: tuple[tuple, ...] = HISTOGRAM_SPECS
     quantile_specs: tuple[tuple, ...] = QUANTILE_SPECS
     quantile_probs: tuple[float, ...] = QUANTILE_PROBS
-    holidays: tuple[date, ...] = ()
+    holidays: tuple[date, ...] = US_HOLIDAYS
     weather: tuple[str, ...] = WEATHER
     min_daily_pickups: float = 10
     # percentile_approx accuracy: the rank error is at most rows / accuracy
@@ -155,18 +196,3 @@ class StudyConfig:
     def cell(self) -> list[str]:
         """A row of the summary cube, apart from its date."""
         return [self.origin, "dropoff_group", "time_band"]
-
-
-# US federal holidays 2023-2025, observed weekdays included -----
-US_HOLIDAYS = tuple(
-    date.fromisoformat(day)
-    for day in (
-        "2023-01-01 2023-01-02 2023-01-16 2023-02-20 2023-05-29 2023-06-19 2023-07-04 "
-        "2023-09-04 2023-10-09 2023-11-10 2023-11-11 2023-11-23 2023-12-25 "
-        "2024-01-01 2024-01-15 2024-02-19 2024-05-27 2024-06-19 2024-07-04 2024-09-02 "
-        "2024-10-14 2024-11-11 2024-11-28 2024-12-25 "
-        "2025-01-01 2025-01-20 2025-02-17 2025-05-26 2025-06-19 2025-07-04 2025-09-01 "
-        "2025-10-13 2025-11-11 2025-11-27 2025-12-25"
-    ).split()
-)
-# End of fixed values --------------------------------------------------------

@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 
 from stepchange.config import StudyConfig
 
-# Bin widths of the exact selection. They only steer how the work is spread.
+# The exact selection looks for a rank in bins of this width, then in FINER parts of
+# one bin. Only values of one part, far fewer than the group's, are put in order.
 BIN_WIDTH = 0.5
+FINER = 4096
 
 
 def group_quantiles(
@@ -43,6 +45,19 @@ def group_quantiles(
     return data.groupBy(*keys).agg(*counts).join(found, list(keys), "left")
 
 
+def _located(counted: DataFrame, group: Sequence[str], item: str, rank: Column) -> DataFrame:
+    """Of each group the item in which a rank falls, with the rank inside it as ``within``.
+
+    ``counted`` has one row an item, with its rows as ``n``.
+    """
+    so_far = F.sum("n").over(W.partitionBy(*group).orderBy(item))
+    return (
+        counted.withColumn("upto", so_far)
+        .where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+        .withColumn("within", rank - F.col("upto") + F.col("n"))
+    )
+
+
 def exact_quantiles(
     data: DataFrame,
     keys: Sequence[str],
@@ -50,11 +65,12 @@ def exact_quantiles(
     probs: Sequence[float],
     width: float = BIN_WIDTH,
 ) -> DataFrame:
-    """Exact discrete quantiles: value counts, then the one bin that holds the rank.
+    """Exact discrete quantiles by counts of values, bins and parts of bins.
 
-    Rows are counted by (group, measure, bin, value), so a hot group is spread
-    over its values. Bin totals place every rank in one bin, and only that bin's
-    values are put in order. Both reads of the value counts share one shuffle.
+    Rows are counted by (group, measure, value), so a hot group is spread over its
+    values. Totals of bins place a rank in one bin, totals of that bin's parts in
+    one part, and only that part's values are put in order. All reads of the
+    value counts share one shuffle.
     """
     entries = F.array(
         *[
@@ -65,20 +81,17 @@ def exact_quantiles(
     values = (
         data.select(*keys, F.explode(entries).alias("entry"))
         .select(*keys, "entry.measure", "entry.value")
-        .withColumn("bin", F.floor(F.col("value") * (1 / width)))
-        # Null keys find no partner in the join below. Stated here, both reads of
+        # FINER is a power of two, so a part lies in one bin exactly
+        .withColumn("part", F.floor(F.col("value") * (FINER / width)))
+        .withColumn("bin", F.floor(F.col("part") / FINER))
+        # Null keys find no partner in the joins below. Stated here, all reads of
         # these counts have one plan and share its shuffle
-        .where(reduce(Column.__and__, [F.col(k).isNotNull() for k in [*keys, "measure", "bin"]]))
-        .groupBy(*keys, "measure", "bin", "value")
+        .where(reduce(Column.__and__, [F.col(k).isNotNull() for k in [*keys, "measure", "part"]]))
+        .groupBy(*keys, "measure", "bin", "part", "value")
         .agg(F.count("*").alias("n"))
     )
-    group = W.partitionBy(*keys, "measure")
-    bins = (
-        values.groupBy(*keys, "measure", "bin")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(group.orderBy("bin")))
-        .withColumn("total", F.sum("n").over(group))
-    )
+    group = [*keys, "measure"]
+    bins = values.groupBy(*group, "bin").agg(F.sum("n").alias("n"))
     ranks = F.explode(
         F.array(
             *[
@@ -87,34 +100,28 @@ def exact_quantiles(
             ]
         )
     ).alias("rank")
+    total = F.sum("n").over(W.partitionBy(*group))
     wanted = F.greatest(F.ceil(F.round(F.col("rank.prob") * F.col("total"), 6)), F.lit(1))
-    targets = (
-        bins.select("*", ranks)
-        .withColumn("wanted", wanted)
-        .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select(
-            *keys,
-            "measure",
-            "bin",
-            F.col("rank.level").alias("level"),
-            (F.col("wanted") - F.col("upto") + F.col("n")).alias("within"),
-        )
+    ranked = bins.withColumn("total", total).select("*", ranks).withColumn("wanted", wanted)
+    ranked = ranked.withColumn("level", F.col("rank.level"))
+    in_bin = _located(ranked, [*group, "level"], "bin", F.col("wanted")).select(
+        *group, "bin", "level", F.col("within").alias("wanted")
     )
-    in_bin = W.partitionBy(*keys, "measure", "level").orderBy("value")
-    picked = (
-        values.join(targets, [*keys, "measure", "bin"])
-        .withColumn("upto", F.sum("n").over(in_bin))
-        .where((F.col("upto") >= F.col("within")) & (F.col("upto") - F.col("n") < F.col("within")))
+    parts = values.groupBy(*group, "bin", "part").agg(F.sum("n").alias("n"))
+    in_part = _located(
+        parts.join(in_bin, [*group, "bin"]), [*group, "level"], "part", F.col("wanted")
+    ).select(*group, "bin", "part", "level", F.col("within").alias("wanted"))
+    picked = _located(
+        values.join(in_part, [*group, "bin", "part"]), [*group, "level"], "value", F.col("wanted")
     )
 
     def level_value(name: str, index: int) -> Column:
         wanted = (F.col("measure") == name) & (F.col("level") == index)
         return F.max(F.when(wanted, F.col("value")))
 
-    found = picked.groupBy(*keys).agg(
+    return picked.groupBy(*keys).agg(
         *[
             F.array(*[level_value(name, index) for index in range(len(probs))]).alias(name)
             for name in measures
         ]
     )
-    return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import factorial
 
 import numpy as np
@@ -78,6 +78,8 @@ def node_covers(train: DataFrame, forest: list[list[Leaf]]) -> list[list[int]]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = [np.zeros(len(leaves), np.int64) for leaves in shared.value]
         for batch in batches:
+            if not len(batch):
+                continue
             x = np.vstack(batch["x"].to_list())
             for number, leaves in enumerate(shared.value):
                 for index, leaf in enumerate(leaves):
@@ -161,7 +163,11 @@ def shapley_values(x: np.ndarray, leaves: list[Leaf], rates: list[list[float]])
 
 def _explained(model: Boosted) -> tuple[list, float]:
     """Leaves and pass rates of every tree, and the mean score."""
-    forest = [tree_leaves(tree) for tree in model.trees]
+    limit = model.params.max_step
+    forest = [
+        [replace(leaf, value=min(max(leaf.value, -limit), limit)) for leaf in tree_leaves(tree)]
+        for tree in model.trees
+    ]
     covers = node_covers(model.rows.where("is_train"), forest)
     rates = [_pass_rates(leaves, counts) for leaves, counts in zip(forest, covers)]
     base = model.base
@@ -194,11 +200,12 @@ def explain(model: Boosted, rows: DataFrame) -> tuple[DataFrame, float]:
 
 
 def shap_importance(
-    model: Boosted, cfg: StudyConfig, n: int = 20_000, seed: int = 0
+    model: Boosted, cfg: StudyConfig, n: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """Mean absolute Shapley value of each input over a sample of forecast rows."""
+    """Mean absolute Shapley value of each input over the forecast rows, or ``n`` of them."""
     test = model.rows.where(~F.col("is_train"))
-    sample = seeded_sample(test, [*cfg.cell, "date"], n, seed).repartition(
+    chosen = test if n is None else seeded_sample(test, [*cfg.cell, "date"], n, seed)
+    sample = chosen.repartition(
         int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     )
     explained, _ = explain(model, sample)

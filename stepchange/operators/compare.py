@@ -177,14 +177,10 @@ def zone_change(cube: DataFrame, medians: DataFrame, cfg: StudyConfig) -> DataFr
         .groupBy("service", cfg.origin, "date", "period")
         .agg(F.sum("trips").alias("trips"))
     )
-    # Days of the base period that are in the table: one row
+    # Days of the base period that are in the table: one number
     days = rows.where(_in("before")).select("date").distinct().agg(F.count("*").alias("days"))
-    zones = (
-        rows.groupBy("service", cfg.origin)
-        .agg(*_before_after("trips"))
-        .withColumn("one", F.lit(1))
-        .join(days.withColumn("one", F.lit(1)), "one")
-    )
+    zones = rows.groupBy("service", cfg.origin).agg(*_before_after("trips"))
+    zones = zones.withColumn("days", days.scalar())
     eph = medians.groupBy(cfg.origin).agg(
         *[
             F.max(F.when(_in(name), F.col("median_earnings_per_engaged_hour"))).alias(

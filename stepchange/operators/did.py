@@ -315,12 +315,16 @@ def _poisson(y: np.ndarray, x: np.ndarray, group_band: np.ndarray, date_band: np
         root = np.sqrt(mu)
         beta = np.linalg.lstsq(flat * root[:, None], target * root, rcond=1e-10)[0]
         eta = working - (target - flat @ beta)
-        mu = np.exp(np.clip(eta, -50, 50))
+        mu = np.exp(eta)
+        if not (np.isfinite(mu).all() and (mu > 0).all()):
+            raise ValueError("the Poisson fit diverges")
         logs = np.log(np.where(y > 0, y, 1.0) / mu)
         latest = 2 * np.sum(np.where(y > 0, y * logs, 0.0) - (y - mu))
         if abs(latest - deviance) < 1e-10 * (abs(latest) + 1):
             break
         deviance = latest
+    else:
+        raise ValueError("the Poisson fit did not converge in 100 iterations")
     flat, root = _demean(every, mu, date_band), np.sqrt(mu)[:, None]
     k = x.shape[1]
     own, fixed = flat[:, :k], flat[:, k:]
@@ -571,7 +575,8 @@ def fit_pay(panel: DataFrame, fits: Sequence[Fit], cfg: StudyConfig) -> list[tup
         grams = _zone_grams(cells, designs, shared, days, cfg).persist(
             StorageLevel.MEMORY_AND_DISK
         )
-        totals = np.zeros((len(sets), len(bands), 64, 64))
+        width = 1 + max(map(len, base))
+        totals = np.zeros((len(sets), len(bands), width, width))
         for row in grams.groupBy("rows_of", "time_band", "i", "j").agg(F.sum("value").alias("v")).collect():
             totals[row.rows_of, bands.index(row.time_band), row.i, row.j] = row.v
         solved, selections = [], []
@@ -586,7 +591,7 @@ def fit_pay(panel: DataFrame, fits: Sequence[Fit], cfg: StudyConfig) -> list[tup
                 levels = sum(row.dates for (key, _), row in sizes.items() if key == number)
                 solved.append(Solved(fit, bread @ moment, bread, n, levels))
                 selections.append((number, picks, bread @ moment))
-        scores = _pay_scores(grams, selections, bands)
+        scores = _pay_scores(grams, selections, bands, width)
         meats, clusters = _meats(scores, [len(s.beta) for s in solved])
         grams.unpersist()
     finally:
@@ -750,7 +755,9 @@ def _normal_equations(totals: np.ndarray, picks: Sequence[tuple], bands: Sequenc
     return normal, moment
 
 
-def _pay_scores(grams: DataFrame, selections: Sequence[tuple], bands: Sequence[str]) -> DataFrame:
+def _pay_scores(
+    grams: DataFrame, selections: Sequence[tuple], bands: Sequence[str], width: int
+) -> DataFrame:
     """Cluster scores of every fit from the zones' cross products."""
     by_zone = grams.groupBy("rows_of", "cluster").agg(
         F.collect_list(F.struct("time_band", "i", "j", "value")).alias("entries")
@@ -760,7 +767,7 @@ def _pay_scores(grams: DataFrame, selections: Sequence[tuple], bands: Sequence[s
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                totals = np.zeros((len(bands), 64, 64))
+                totals = np.zeros((len(bands), width, width))
                 for entry in row.entries:
                     totals[bands.index(entry["time_band"]), entry["i"], entry["j"]] = entry["value"]
                 for fit, (number, picks, beta) in enumerate(selections):

@@ -80,6 +80,10 @@ class BoostParams:
     learning_rate: float = 0.1
     depth: int = 6
     min_rows: int = 20
+    # A leaf moves the score, a logarithm, by at most so much before the learning rate
+    max_step: float = 0.7
+    # Split points of an input, and the least for its categories
+    bins: int = 255
     seed: int = 0
     checkpoint_every: int = 10
 
@@ -165,32 +169,36 @@ def boost(
         weightCol="weight",
         predictionCol="leaf_step",
         maxDepth=params.depth,
-        maxBins=max(32, categories),
+        maxBins=max(params.bins, categories),
         minInstancesPerNode=params.min_rows,
         seed=params.seed,
     )
     # Many small files or cells don't matter here: rows are spread once
     rows = vectors.withColumn("score", F.lit(float(base))).persist(StorageLevel.MEMORY_AND_DISK)
     result = Boosted(rows, float(base), params, names)
+    loss = _train_loss(rows, target)
     for number in range(1, params.rounds + 1):
         train = rows.where("is_train").select(
             "features", step.alias("step"), curvature.alias("weight")
         )
         tree = regressor.fit(train)
         result.trees.append(tree)
-        moved = F.col("score") + params.learning_rate * F.col("leaf_step")
-        # A far score would overflow exp long before it meant anything
+        limit = F.lit(params.max_step)
+        bounded = F.least(F.greatest(F.col("leaf_step"), -limit), limit)
         scored = (
             tree.transform(rows)
-            .withColumn("score", F.least(F.greatest(moved, F.lit(-30.0)), F.lit(30.0)))
+            .withColumn("score", F.col("score") + params.learning_rate * bounded)
             .drop("leaf_step")
         )
         if number % params.checkpoint_every == 0:
             scored = scored.checkpoint()
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-        scored.count()
+        now = _train_loss(scored, target)
         rows.unpersist()
         rows = scored
+        if not now <= loss + 1e-9 * (1 + abs(loss)):
+            raise ValueError(f"round {number} raised the training deviance from {loss} to {now}")
+        loss = now
     result.rows = rows
     return result
 
@@ -211,6 +219,12 @@ def deviance(rows: DataFrame, target: str) -> DataFrame:
     return rows.groupBy("is_train").agg(F.avg(unit).alias("deviance"))
 
 
+def _train_loss(rows: DataFrame, target: str) -> float:
+    """Mean deviance of the training rows. Reads all rows, so a persisted frame is filled."""
+    found = {row.is_train: row.deviance for row in deviance(rows, target).collect()}
+    return found.get(True, 0.0)
+
+
 def _predictions(model: Boosted, test: Column, cfg: StudyConfig) -> DataFrame:
     return model.rows.where(test).select(
         *cfg.cell,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepchange.config import StudyConfig
 from stepchange.functions import columns as C
+from stepchange.functions.quantiles import group_quantiles
 from stepchange.operators.trips import analysed, known_groups
 from stepchange.sources.files import build_missing_months
 from stepchange.sources.monthly import month_starts
@@ -18,20 +19,23 @@ from stepchange.sources.monthly import month_starts
 def summarise(trips: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Trips, known earnings and median engaged-hour pay of every cell and date.
 
-    One shuffle with map-side partial counts and sketches. The median's sketch
-    is exact for a cell-day of fewer than ``accuracy / 2`` trips.
+    Sketched medians take one shuffle with map-side partial counts. With
+    ``exact_medians`` they are selected exactly in cell-days of any size.
     """
-    return (
-        trips.groupBy(cfg.origin, "dropoff_group", "date", "time_band")
-        .agg(
-            F.count("*").alias("trips"),
-            F.count("earnings").alias("trips_with_earnings"),
-            C.exact_sum("earnings").alias("total_earnings"),
-            F.percentile_approx("earnings_per_engaged_hour", 0.5, cfg.accuracy).alias(
-                "median_earnings_per_engaged_hour"
-            ),
-        )
-        .withColumn("service", F.lit(cfg.service))
+    keys = [cfg.origin, "dropoff_group", "date", "time_band"]
+    counts = [
+        F.count("*").alias("trips"),
+        F.count("earnings").alias("trips_with_earnings"),
+        C.exact_sum("earnings").alias("total_earnings"),
+    ]
+    medians = {"median": F.col("earnings_per_engaged_hour")}
+    return group_quantiles(trips, keys, medians, [0.5], cfg, counts).select(
+        *keys,
+        "trips",
+        "trips_with_earnings",
+        "total_earnings",
+        F.col("median")[0].alias("median_earnings_per_engaged_hour"),
+        F.lit(cfg.service).alias("service"),
     )
 
 

@@ -131,19 +131,21 @@ def reconcile(data: DataFrame, expected: int, name: str) -> DataFrame:
 def load_or_build(
     spark: SparkSession, path: str, required: Iterable[str], build: Callable[[], DataFrame]
 ) -> DataFrame:
-    """A saved table, rebuilt if it is missing or lacks a required column."""
+    """A saved table, or a new one beside it if it is missing or lacks a required column.
+
+    A saved table is left as it is: the rebuilt one is returned from its own
+    folder, ``path`` and a suffix, which the caller may put in the old one's place.
+    """
     try:
         saved = spark.read.parquet(path)
         if set(required) <= set(saved.columns):
             return saved
+        # A new folder, so a reader of the old table is never cut off half-way
+        fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     except AnalysisException:
-        pass
-    # A new folder, so a reader of the old table is never cut off half-way
-    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+        fresh = path
     build().write.parquet(fresh)
-    rebuilt = spark.read.parquet(fresh)
-    rebuilt.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(fresh)
 
 
 def write_csv(data: DataFrame, path: str) -> None:

@@ -137,7 +137,8 @@ def test_holidays_and_flag(spark):
     cfg = replace(CFG, holidays=(date(2024, 7, 4),))
     days = spark.createDataFrame([(date(2024, 7, 4),), (date(2024, 7, 5),)], "date date")
     assert [r.is_holiday for r in enrich.add_holidays(days, cfg).orderBy("date").collect()] == [True, False]
-    assert not enrich.add_holidays(days, CFG).first().is_holiday
+    assert enrich.add_holidays(days, CFG).first().is_holiday
+    assert not enrich.add_holidays(days, replace(CFG, holidays=())).first().is_holiday
 
 
 def test_checks(spark):

@@ -79,6 +79,31 @@ def test_sketched_and_exact_medians_agree_on_small_groups(spark):
     assert got[0] == got[1]
 
 
+def test_cell_medians_are_exact_in_large_cells(spark):
+    rng = np.random.default_rng(8)
+    cells = {zone: rng.gamma(2, 20, 5000) for zone in range(4)}
+    rows = [(zone, "g", date(2025, 1, 1), "midday", float(v), float(v)) for zone, values in cells.items() for v in values]
+    rows += [(9, "g", date(2025, 1, 1), "midday", 1.0, None)]
+    trips = spark.createDataFrame(
+        rows,
+        f"{CFG.origin} int, dropoff_group string, date date, time_band string, earnings double, "
+        "earnings_per_engaged_hour double",
+    )
+    found = {r[0]: r for r in summary.summarise(trips, replace(CFG, exact_medians=True)).collect()}
+    for zone, values in cells.items():
+        assert found[zone].median_earnings_per_engaged_hour == sorted(values)[2499]
+        assert found[zone].trips == 5000
+    assert found[9].median_earnings_per_engaged_hour is None and found[9].trips == 1
+
+
+def test_one_hot_bin_is_cut_into_parts(spark):
+    # All values in one bin of the exact selection, in many parts of it
+    data = spark.range(200_000).select(F.lit("a").alias("k"), ((F.col("id") * 7919 % 200_003) / 500_000).alias("v"))
+    values = sorted(i * 7919 % 200_003 / 500_000 for i in range(200_000))
+    found = exact_quantiles(data, ["k"], {"v": F.col("v")}, [0.25, 0.5]).first()
+    assert found.v == [values[49_999], values[99_999]]
+
+
 def test_hourly_shares_and_fees(spark):
     cfg = replace(CFG)
     data = spark.sql(
