@@ -109,7 +109,7 @@ WITH lines AS (
   SELECT doc_id, i, array_to_string(l[i : i + 2], chr(10)) AS w
   FROM lines, unnest(range(1, len(l) - 1)) AS u(i)
 ), firsts AS (
-  SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM windows WHERE trim(w, ' ') <> ''
+  SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM windows WHERE trim(replace(w, chr(10), ''), ' ') <> ''
 ), gone AS (
   SELECT doc_id, list_distinct(flatten(list(range(i, i + 3)))) AS g FROM firsts WHERE k > 1 GROUP BY doc_id
 ), kept AS (

@@ -30,7 +30,7 @@ SHINGLE = 5
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
 SIMILARITY = 75  # of 100
-GROWTH = 16
+GROWTH = 256
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -166,7 +166,7 @@ def links(documents: DataFrame, nodes: DataFrame, known: DataFrame, percent: int
         several = state.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         state = state.join(several, "bucket")
         fresh = state if hubs is None else state.join(hubs, ["bucket", "node"], "left_anti")
-        part = F.pmod(F.xxhash64("node"), F.lit(GROWTH ** min(turn, 12)))
+        part = F.pmod(F.xxhash64("node"), F.lit(GROWTH ** min(turn, 7)))
         best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "root", "n_shingles")).alias("best")
         chosen = fresh.groupBy("bucket", part.alias("part")).agg(best)
         chosen = written(chosen.select("bucket", (-F.col("best.minus")).alias("hub"), F.col("best.root").alias("hub_root"), F.col("best.n_shingles").alias("hub_n")), "hubs")
