@@ -77,11 +77,15 @@ def probability(margin):
 
 
 def _epoch(params: FtrlParams, state):
-    def fit(batches):
+    """One pass over a shard, as a table of the coordinates that it met; the bias stands at -1."""
+
+    def fit(shard: pa.Table) -> pa.Table:
         z, n, bias = (x.copy() for x in state.value)
         free = replace(params, l1=0.0, l2=0.0)
-        for batch in batches:
-            labels = batch.column(batch.schema.get_field_index("label")).to_numpy()
+        # The same order in every run
+        shard = shard.sort_by([("key", "ascending"), ("text", "ascending")])
+        for batch in shard.select(["text", "label"]).to_batches():
+            labels = batch.column(1).to_numpy()
             for block in blocks(batch):
                 found, bounds = features(block, params)
                 for i, label in enumerate(labels[block.rows]):
@@ -96,9 +100,7 @@ def _epoch(params: FtrlParams, state):
                     bias[0] += error - (np.sqrt(bias[1] + error * error) - np.sqrt(bias[1])) / params.alpha * b
                     bias[1] += error * error
         used = np.flatnonzero(n > 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(used, -1)), pa.array(np.append(z[used], bias[0])), pa.array(np.append(n[used], bias[1]))], ["at", "z", "n"]
-        )
+        return pa.table({"at": np.append(used, -1), "z": np.append(z[used], bias[0]), "n": np.append(n[used], bias[1])})
 
     return fit
 
@@ -119,13 +121,12 @@ def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlPara
     # At most `labelled` ids, 16 bytes each: a broadcast of a known size
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.length("text") <= params.row_bytes)
     fitted = rows.join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("double").alias("label"), F.xxhash64("doc_id").alias("key"))
-    fitted = written(fitted.repartition(params.shards, "key").sortWithinPartitions("key", "text"), "labelled")
-    # Equal shards in every epoch
-    fitted = fitted.repartition(params.shards, "key").sortWithinPartitions("key", "text").drop("key")
+    # A shard is a bounded part of a bounded sample
+    fitted = written(fitted.withColumn("shard", F.pmod("key", F.lit(params.shards))), "labelled")
     z, n, bias = np.zeros(1 << params.bits), np.zeros(1 << params.bits), np.zeros(2)
     for _ in range(params.epochs):
         state = spark.sparkContext.broadcast((z, n, bias))
-        parts = fitted.mapInArrow(_epoch(params, state), "at long, z double, n double")
+        parts = fitted.groupBy("shard").applyInArrow(_epoch(params, state), "at long, z double, n double")
         # A shard that never met a coordinate has no say in it
         mean = parts.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         state.unpersist()
