@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python step works on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,7 +88,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[begin:end], which depends on its bytes alone."""
-    ups, downs = _powers(max(20, int(len(data)).bit_length()))
+    ups, downs = _powers(max(19, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * ups[: len(data)], out=sums[1:])
     return mixed((sums[end] - sums[begin]) * downs[begin])

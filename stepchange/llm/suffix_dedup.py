@@ -29,10 +29,10 @@ from stepchange.llm.common import Block, blocks, span_hashes, written
 LENGTH = 200
 ANCHOR = 32
 #: Bytes of runs that one suffix array holds about, and different runs of one anchor that meet in it at most.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 HOT_RUNS = 2000
 #: Starts that are looked at together in a long text.
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 def anchored_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
@@ -47,6 +47,7 @@ def anchored_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length:
         grams = span_hashes(part, at, at + anchor)
         # Place in the low bits: of equal hashes the first one is taken
         least = (grams & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
+        del at
         width, size = length - anchor + 1, 1
         while size * 2 <= width:
             least = np.minimum(least[:-size], least[size:])
@@ -183,7 +184,7 @@ def _mark_bucket(length: int):
             edges = np.flatnonzero(np.diff(marks.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
             spans.append([{"low": int(a), "high": int(b)} for a, b in zip(edges[::2], edges[1::2])])
         kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-        return pa.table({"anchor": table["anchor"], "whole": table["whole"], "n": table["n"], "at": table["at"], "spans": pa.array(spans, kind)})
+        return pa.table({"anchor": table["anchor"], "whole": table["whole"], "n": table["n"], "spans": pa.array(spans, kind)})
 
     return mark
 
@@ -216,25 +217,23 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, hot_runs: int = H
         .dropDuplicates(key)
     )
     pieces = written(pieces, "pieces")
-    usual = pieces.where(F.col("kinds") <= hot_runs).withColumn("at", F.lit(0)).withColumn("deal", F.col("anchor"))
-    # Hot anchors: every string by itself; equal strings stand at equal distances from the anchor's hash and bytes
+    usual = pieces.where(F.col("kinds") <= hot_runs)
+    # Hot anchors: every string by itself, told by 128 bits
     hot = pieces.where(F.col("kinds") > hot_runs)
     hot = hot.select("anchor", "whole", "kinds", F.col("n").alias("of_n"), "piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     hot = hot.withColumn("piece", F.substring("piece", F.col("at") + 1, F.lit(length)))
-    # Of equal strings two are enough to see that each is repeated; the rest take their mark
     strings = hot.withColumn("s1", F.xxhash64("piece")).withColumn("s2", F.xxhash64(F.lit("second"), F.col("piece")))
     twin = F.struct("whole", "of_n", "at")
     pairs = strings.groupBy("s1", "s2").agg((F.min(twin) != F.max(twin)).alias("repeated")).where("repeated").select("s1", "s2")
     hot_marks = strings.join(pairs, ["s1", "s2"], "left_semi").select("anchor", "whole", F.col("of_n").alias("n"), F.array(F.struct(F.col("at").alias("low"), (F.col("at") + 1).alias("high"))).alias("spans"))
     total = usual.agg(F.sum(F.length("piece"))).first()[0] or 0
     n_buckets = max(1, -(-total // BUCKET_BYTES))
-    usual = usual.withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(n_buckets)))
+    usual = usual.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)))
     marked = (
-        usual.select(*key, "at", "piece", "bucket")
+        usual.select(*key, "piece", "bucket")
         .groupBy("bucket")
-        .applyInArrow(_mark_bucket(length), "anchor long, whole long, n int, at int, spans array<struct<low:int,high:int>>")
+        .applyInArrow(_mark_bucket(length), "anchor long, whole long, n int, spans array<struct<low:int,high:int>>")
         .where(F.size("spans") > 0)
-        .select(*key, "spans")
     )
     full = kinds.where("twice").select(*key, F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high"))).alias("spans"))
     kind_twice = kinds.where("twice").select(*key)
