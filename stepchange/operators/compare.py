@@ -534,6 +534,9 @@ def flag_busiest(totals: DataFrame, key: str, value: str, n: int) -> DataFrame:
 
 
 def seeded_sample(data: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """At most n rows, the same ones however the data is partitioned."""
-    order = F.xxhash64(F.lit(seed), *keys)
+    """At most n rows, the same ones however the data is partitioned.
+
+    Rows are taken by the md5 of the seed and their keys as text, joined by bars.
+    """
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
     return data.orderBy(order, *keys).limit(n)

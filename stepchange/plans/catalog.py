@@ -206,15 +206,35 @@ def daily_covariates(spark, folder):
     return weather(spark, folder).orderBy("date")
 
 
-FILES = (
-    "region nation customer supplier part orders lineitem events documents embeddings "
-    "pages benchmark labels conversations"
-).split()
-
-
-@query("file_profile")
+# The order tables' files and their numbers of columns
+FILES = {
+    "region": 2,
+    "nation": 3,
+    "customer": 5,
+    "supplier": 4,
+    "part": 6,
+    "orders": 6,
+    "lineitem": 11,
+    "events": 6,
+    "documents": 5,
+    "embeddings": 3,
+    "pages": 3,
+    "benchmark": 2,
+    "labels": 3,
+    "conversations": 4,
+}
+
+
+@query(
+    "file_profile",
+    " union all ".join(
+        f"select '{t}.parquet' as file, '{t}' as service, count(*) as rows, {n} as columns from {t}"
+        for t, n in FILES.items()
+    ),
+)
 def file_profile(spark, folder):
-    return files.file_profile(spark, [f"{folder}/{t}.parquet" for t in FILES])
+    # The size in MB has no counterpart in SQL
+    return files.file_profile(spark, [f"{folder}/{t}.parquet" for t in FILES]).drop("size_mb")
 
 
 @query(
@@ -1296,7 +1316,13 @@ def busiest_flag(spark, folder):
     return compare.flag_busiest(totals, STUDY.origin, "trips", 15)
 
 
-@query("seeded_sample")
+@query(
+    "seeded_sample",
+    """select PULocationID, dropoff_group, time_band, date, trips from cube
+    order by md5(concat_ws('|', '0', PULocationID, dropoff_group, time_band, date)),
+      PULocationID, dropoff_group, time_band, date limit 20000""",
+    "cube",
+)
 def seeded_sample(spark, folder):
     keys = [*STUDY.cell, "date"]
     return compare.seeded_sample(cube(spark, folder), keys, 20_000).select(*keys, "trips")
