@@ -104,7 +104,7 @@ def train(documents: DataFrame) -> Model | None:
 
     def table(frame: DataFrame, most: int):
         wide = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-        return frame.groupBy("word").agg(F.sum("n").alias("n"), *wide).orderBy(F.desc("n"), "word").limit(most).toPandas()
+        return frame.groupBy("word").agg(F.sum("n").alias("n"), *wide).orderBy(F.desc("n"), "word").limit(most).toArrow().to_pandas()
 
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     total = np.array([totals[x] for x in langs], float)

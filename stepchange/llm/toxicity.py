@@ -128,12 +128,13 @@ def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlPara
         state = spark.sparkContext.broadcast((z, n, bias))
         parts = fitted.groupBy("shard").applyInArrow(_epoch(params, state), "at long, z double, n double")
         # A shard that never met a coordinate has no say in it
-        mean = parts.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
+        mean = parts.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
         state.unpersist()
-        inner = mean["at"] >= 0
-        z[mean["at"][inner]], n[mean["at"][inner]] = mean["z"][inner], mean["n"][inner]
+        at, new_z, new_n = (mean[c].to_numpy() for c in ("at", "z", "n"))
+        inner = at >= 0
+        z[at[inner]], n[at[inner]] = new_z[inner], new_n[inner]
         if (~inner).any():
-            bias = mean.loc[~inner, ["z", "n"]].to_numpy()[0].copy()
+            bias = np.array([new_z[~inner][0], new_n[~inner][0]])
     b = weights(bias[:1], bias[1:], replace(params, l1=0.0, l2=0.0))[0]
     return weights(z, n, params), float(b)
 
