@@ -17,7 +17,7 @@ from stepchange.llm import chat, common, decontaminate, language, line_dedup, mi
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Nulls in every column, empty, blank and very long texts, repeated rows, one id with two texts
-LONG = "\n".join(f"line {i} holds word{i % 977} and number {i * i % 7919} and nothing else" for i in range(20_000))
+LONG = "\n".join(f"line {i} holds word{i % 977} and number {i * i % 7919} and nothing else" for i in range(4_000))
 ODD = [
     (1, None, None, None, None),
     (2, "", "en", "a", 0),
