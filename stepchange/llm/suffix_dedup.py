@@ -196,7 +196,9 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, hot_runs: int = H
     runs = texts.mapInArrow(_find_runs(length, min(ANCHOR, length)), f"doc_id {kind}, text_hash long, start long, n int, anchor long, whole long")
     place = F.xxhash64("doc_id", "text_hash", "start")
     again = runs.select("anchor", place.alias("place")).groupBy("anchor").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi")
-    runs = written(runs.join(again.select("anchor"), "anchor", "left_semi"), "runs")
+    # Written, so that the join's sides are plain exchanges, of which hot anchors can be split
+    again = written(again.select("anchor"), "anchors")
+    runs = written(runs.join(again, "anchor", "left_semi"), "runs")
     key = ["anchor", "whole", "n"]
     where = F.struct("doc_id", "text_hash", "start")
     kinds = written(runs.groupBy(*key).agg(F.min(where).alias("first"), (F.min(where) != F.max(where)).alias("twice")), "kinds")
