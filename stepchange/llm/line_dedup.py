@@ -54,7 +54,8 @@ def duplicate_lines(documents: DataFrame, n: int = LINES) -> DataFrame:
         .where(F.col("first") != F.col("last"))
         .select("h1", "h2", "first")
     )
-    later = windows.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
+    # Written, so that the join's sides are plain exchanges, of which hot windows can be split
+    later = windows.join(written(firsts, "firsts"), ["h1", "h2"]).where(place != F.col("first"))
     return (
         later.groupBy("doc_id", "text_hash")
         .agg(F.collect_set("at").alias("starts"))

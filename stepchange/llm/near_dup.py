@@ -151,7 +151,8 @@ def links(documents: DataFrame, nodes: DataFrame, known: DataFrame, percent: int
     known: links (a, b) that need no check.
     """
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # Written, so that the join's sides are plain exchanges, of which hot buckets can be split
+    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     live = written(members.join(sizes, "bucket"), "members")
     degree = live.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
     live = written(live.join(degree, "node").select("bucket", "node", "n_shingles", "degree"), "members")
