@@ -1,10 +1,12 @@
 """Language ID by words first, then ever shorter character n-grams.
 
 Word counts by language cover all learning texts; they are summed inside each task
-before the shuffle. The model holds the MODEL_WORDS most frequent words and, from the
+before the shuffle. Runs of letters over WORD_BYTES, as in scripts without spaces, are
+counted by their n-grams instead, all of them. The model holds the MODEL_WORDS most frequent words and, from the
 whole word list, the most frequent n-grams of each length, so its size is bounded. A
 known word scores its log frequency in each language, an unseen one the mean log
-frequency of its longest known n-grams.
+frequency of its longest known n-grams. A long run is scored in pieces of about WORD_BYTES,
+each of which counts as an unseen word.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ LETTERS = byte_table(b for b in range(256) if 97 <= b <= 122 or b >= 128)
 MODEL_WORDS = 100_000
 MODEL_GRAMS = 50_000
 ORDERS = (4, 3, 2, 1)
-#: Longer words are taken as unseen and not counted.
+#: Longer runs of letters are no words: their n-grams are counted, and each so many bytes score as an unseen word.
 WORD_BYTES = 64
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -40,14 +42,48 @@ def _lower(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
 
+def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' bytes with marks at both ends, so a word's first and last letters differ from inner ones; where each
+    character begins, and the end; the word of each character."""
+    data = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.cumsum(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+    return data, np.append(at, len(data)), np.searchsorted(ends, at, side="right")
+
+
+def gram_spans(at: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all n-grams inside words: the number of the first character, begin and end."""
+    n = max(len(word) - size + 1, 0)
+    inside = np.flatnonzero(word[:n] == word[len(word) - n :])
+    return inside, at[inside], at[inside + size]
+
+
+def parts(sizes: np.ndarray) -> np.ndarray:
+    """Words that a run of so many bytes counts as."""
+    return -(-sizes // WORD_BYTES)
+
+
 def _count_words(batches):
-    """(lang, word, n), summed in the task."""
+    """(lang, word, size, n), summed in the task. Size 0 is a word, 1 to 4 an n-gram of a long run, -1 all long runs."""
     held: Counter = Counter()
 
     def given():
-        rows = [(lang, word.decode("utf-8", "replace"), n) for (lang, word), n in held.items()]
+        rows = [(lang, word.decode("utf-8", "replace"), size, n) for (lang, word, size), n in held.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "word", "size", "n"])
+
+    def summed(data, begin, end, langs, lang, size):
+        hashes = span_hashes(data, begin, end)
+        order = np.lexsort((lang, hashes))
+        h, lg = hashes[order], lang[order]
+        head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (lg[1:] != lg[:-1]))[: len(h)])
+        text = data.tobytes()
+        for i, n in zip(head, np.diff(np.append(head, len(h)))):
+            j = order[i]
+            held[langs[lang[j]], text[begin[j] : end[j]], size] += int(n)
+            if len(held) > _HELD:
+                yield given()
 
     for batch in batches:
         batch = _lower(batch)
@@ -55,18 +91,17 @@ def _count_words(batches):
         for block in blocks(batch):
             begin, end, first = block.words(LETTERS)
             keep = end - begin <= WORD_BYTES
-            lang = np.repeat(row_lang[block.rows], np.diff(first))[keep]
-            begin, end = begin[keep], end[keep]
-            hashes = span_hashes(block.data, begin, end)
-            order = np.lexsort((lang, hashes))
-            h, lg = hashes[order], lang[order]
-            head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (lg[1:] != lg[:-1]))[: len(h)])
-            text = block.data.tobytes()
-            for i, n in zip(head, np.diff(np.append(head, len(h)))):
-                j = order[i]
-                held[langs[lang[j]], text[begin[j] : end[j]]] += int(n)
-            if len(held) > _HELD:
-                yield given()
+            lang = np.repeat(row_lang[block.rows], np.diff(first))
+            yield from summed(block.data, begin[keep], end[keep], langs, lang[keep], 0)
+            if keep.all():
+                continue
+            text, lang, weight = block.data.tobytes(), lang[~keep], parts(end - begin)[~keep]
+            for i, n in zip(lang, weight):
+                held[langs[i], b"", -1] += int(n)
+            data, at, word = marked([text[b:e] for b, e in zip(begin[~keep], end[~keep])])
+            for size in ORDERS:
+                start, gram_begin, gram_end = gram_spans(at, word, size)
+                yield from summed(data, gram_begin, gram_end, langs, lang[word[start]], size)
     if held:
         yield given()
 
@@ -91,12 +126,12 @@ def hash_bytes(words: list[bytes]) -> np.ndarray:
 
 
 def train(documents: DataFrame) -> Model | None:
-    """The model of all rows with text and lang whose crc32(doc_id) modulo 3 isn't 1; None without any word.
+    """The model of all rows with text and lang whose crc32(doc_id) modulo 3 isn't 1; None without any letter.
 
-    Ties of frequency go by the word. Languages are the lang values met.
+    Ties of frequency go by the word. Languages are the lang values of texts with letters, in words or long runs.
     """
     texts = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 3) != 1)).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_count_words, "lang string, word string, size int, n long").groupBy("word", "lang", "size").agg(F.sum("n").alias("n"))
     counts = written(counts, "words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
@@ -106,7 +141,8 @@ def train(documents: DataFrame) -> Model | None:
         wide = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
         return frame.groupBy("word").agg(F.sum("n").alias("n"), *wide).orderBy(F.desc("n"), "word").limit(most).toArrow().to_pandas()
 
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    whole = counts.where("size = 0")
+    totals = {r.lang: r.n for r in counts.where("size <= 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     total = np.array([totals[x] for x in langs], float)
     columns = [f"n{i}" for i in range(len(langs))]
 
@@ -115,13 +151,14 @@ def train(documents: DataFrame) -> Model | None:
         by = np.argsort(hashes)
         return hashes[by], _logs(found[columns].to_numpy(float), total)[by]
 
-    words, word_scores = scored(table(counts, MODEL_WORDS), total)
+    words, word_scores = scored(table(whole, MODEL_WORDS), total)
     grams, floor = [], np.zeros(len(langs))
     for size in ORDERS:
-        # With marks at both ends, so a word's first and last letters differ from inner ones
+        # Marks as in marked()
         marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
         places = F.sequence(F.lit(1), F.length(marked) - size + 1)
-        each = counts.where(F.length("word") >= size - 2).select("lang", "n", F.explode(F.transform(places, lambda i: F.substring(marked, i, F.lit(size)))).alias("word"))
+        each = whole.where(F.length("word") >= size - 2).select("lang", "n", F.explode(F.transform(places, lambda i: F.substring(marked, i, F.lit(size)))).alias("word"))
+        each = each.unionByName(counts.where(F.col("size") == size).select("lang", "n", "word"))
         summed = each.groupBy("word", "lang").agg(F.sum("n").alias("n"))
         top = table(summed, MODEL_GRAMS)
         sums = np.maximum(top[columns].sum().to_numpy(float), 1)
@@ -139,32 +176,36 @@ def looked_up(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def unseen_scores(model: Model, words: list[bytes]) -> np.ndarray:
-    """Mean log frequencies of each word's longest known n-grams."""
-    out = np.tile(model.floor, (len(words), 1))
-    texts = ["^" + w.decode("utf-8", "replace") + "$" for w in words]
-    open_ = list(range(len(words)))
+    """Mean log frequencies of each word's longest known n-grams; of a long run, the mean over its pieces.
+
+    An n-gram is of the piece that it begins in, so none is lost between two.
+    """
+    data, at, word = marked(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    n_pieces = parts(sizes)
+    first = np.append(0, np.cumsum(n_pieces))
+    offset = at[:-1] - (np.cumsum(sizes + 2) - sizes - 2)[word]
+    piece = first[word] + offset * n_pieces[word] // (sizes[word] + 2)
+    out = np.tile(model.floor, (first[-1], 1))
+    open_ = np.ones(len(out), bool)
     for size, keys, scores in model.grams:
-        pieces = [(i, texts[i][j : j + size].encode()) for i in open_ for j in range(len(texts[i]) - size + 1)]
-        if not pieces:
-            continue
-        owner = np.array([i for i, _ in pieces])
-        at = looked_up(hash_bytes([p for _, p in pieces]), keys)
-        known = at >= 0
-        if not known.any():
-            continue
-        n = np.bincount(owner[known], minlength=len(words))
+        start, begin, end = gram_spans(at, word, size)
+        owner = piece[start]
+        left = open_[owner]
+        found = looked_up(span_hashes(data, begin[left], end[left]), keys)
+        owner, found = owner[left][found >= 0], found[found >= 0]
+        n = np.bincount(owner, minlength=len(out))
         done = np.flatnonzero(n)
-        sums = np.zeros((len(words), len(model.langs)))
-        np.add.at(sums, owner[known], scores[at[known]])
-        out[done] = sums[done] / n[done, None]
-        open_ = [i for i in open_ if not n[i]]
-    return out
+        for i in range(len(model.langs)):
+            out[done, i] = np.bincount(owner, scores[found, i], len(out))[done] / n[done]
+        open_[done] = False
+    return np.add.reduceat(out, first[:-1], axis=0) / n_pieces[:, None]
 
 
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of each row, from the text alone.
 
-    score: the chosen language's share, by mean log frequencies of the text's words. Null texts and texts without
+    score: the chosen language's share, by mean log frequencies of the text's words and pieces of long runs. Null texts and texts without
     a letter are "und" with score 0, as is everything without a model. Ties go to the first language in order.
     """
     held = documents.sparkSession.sparkContext.broadcast(model)
@@ -189,12 +230,12 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
                         new = np.flatnonzero(at < 0).tolist()
                     if len(new):
                         text = block.data.tobytes()
-                        found = unseen_scores(model, [text[begin[j] : min(end[j], begin[j] + WORD_BYTES)] for j in example[new]])
+                        found = unseen_scores(model, [text[begin[j] : end[j]] for j in example[new]])
                         cache.update(zip(kinds[new].tolist(), found))
                     for i in np.flatnonzero(at < 0):
                         scores[i] = cache[int(kinds[i])]
-                    counts = np.diff(first)
-                    mean = row_sums(scores[back.ravel()], first) / np.maximum(counts, 1)[:, None]
+                    counts, weight = np.diff(first), parts(end - begin)
+                    mean = row_sums(scores[back.ravel()] * weight[:, None], first) / np.maximum(row_sums(weight, first), 1)[:, None]
                     best = mean.argmax(axis=1)
                     share = np.exp(mean - mean.max(axis=1, keepdims=True))
                     share = (share / share.sum(axis=1, keepdims=True))[np.arange(n), best]

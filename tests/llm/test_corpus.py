@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -251,6 +252,32 @@ def test_language_without_letters_and_unseen_words(spark):
     assert out[64].lang_pred == "en" and out[65].lang_pred == "de"
 
 
+def test_language_of_scripts_without_spaces(spark):
+    rng = random.Random(5)
+    kinds = {"zh": "的一是不了在人有我他这中大来上国", "ja": "のにはをたがでてとしれさある国中", "th": "กขคงจฉชซญดตถทนบป", "en": None}
+    made = lambda k, n: "，".join("".join(rng.choices(kinds[k], k=40)) for _ in range(n)) if kinds[k] else "the house and the garden of the king " * n
+    rows = [(100 * i + j, made(k, 4), k, None, None) for i, k in enumerate(kinds) for j in range(60)]
+    # Only the part after the first 64 bytes is in the language; one run with a Latin name inside; null lang isn't learned
+    last = {1000: ("国中" * 11 + made("zh", 5), "zh"), 1001: ("国中" * 11 + made("ja", 5), "ja"), 1002: (made("zh", 2) + "garden" + made("zh", 2), "zh"), 1003: (made("th", 900), "th")}
+    frame = spark.createDataFrame(rows + [(i, t, None, None, None) for i, (t, _) in last.items()], SCHEMA)
+    out = {r.doc_id: r.lang_pred for r in language.report(frame).collect()}
+    assert {i: out[i] for i in last} == {i: k for i, (_, k) in last.items()}
+    assert np.mean([out[r[0]] == r[2] for r in rows]) > 0.95
+
+
+def test_language_counts_all_ngrams_of_a_long_run():
+    import pyarrow as pa
+
+    text = "ab" + "語学é" * 40 + "z"
+    mark = f"^{text}$"
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([text])], ["lang", "text"])
+    rows = [r for b in language._count_words([batch]) for r in b.to_pylist()]
+    for size in language.ORDERS:
+        brute = Counter(mark[i : i + size] for i in range(len(mark) - size + 1))
+        assert {r["word"]: r["n"] for r in rows if r["size"] == size} == brute
+    assert not [r for r in rows if r["size"] == 0]
+
+
 # --- 5 mixing
 
 
