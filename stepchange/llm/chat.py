@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON object in one of many layouts: messages, instruction and output,
-prompt and response. The set of its nested field paths is hashed to a fingerprint, which
-selects a declarative mapping to canonical turns. A template marks turns with control
+prompt and response. The set of those of its nested field paths that mappings name is
+hashed to a fingerprint, which selects a declarative mapping to canonical turns; other
+fields, as id or weight, don't matter. A template marks turns with control
 strings; control strings inside texts are escaped reversibly. What is written can be read
 back, with the characters under the loss mask (the assistants' texts).
 """
@@ -34,7 +35,9 @@ class Mapping:
 
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
-LAYOUTS: tuple[tuple[tuple[str, ...], Mapping], ...] = (
+Layouts = tuple[tuple[tuple[str, ...], Mapping], ...]
+_SYSTEM = (("system", ("system",)),)
+LAYOUTS: Layouts = (
     (("messages[].role", "messages[].content"), Mapping("messages", "role", "content")),
     (("messages[].content", "messages[].role", "system"), Mapping("messages", "role", "content", (("system", ("system",)),))),
     (("conversations[].from", "conversations[].value"), Mapping("conversations", "from", "value")),
@@ -46,6 +49,11 @@ LAYOUTS: tuple[tuple[tuple[str, ...], Mapping], ...] = (
     (("prompt", "completion"), Mapping(fields=(("user", ("prompt",)), ("assistant", ("completion",))))),
     (("prompt", "response", "system"), Mapping(fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))))),
     (("answer", "question"), Mapping(fields=(("user", ("question",)), ("assistant", ("answer",))))),
+    (("system", "turns[].role", "turns[].text"), Mapping("turns", "role", "text", _SYSTEM)),
+    (("instruction", "output", "system"), Mapping(fields=(*_SYSTEM, ("user", ("instruction",)), ("assistant", ("output",))))),
+    (("input", "instruction", "output", "system"), Mapping(fields=(*_SYSTEM, ("user", ("instruction", "input")), ("assistant", ("output",))))),
+    (("completion", "prompt", "system"), Mapping(fields=(*_SYSTEM, ("user", ("prompt",)), ("assistant", ("completion",))))),
+    (("answer", "question", "system"), Mapping(fields=(*_SYSTEM, ("user", ("question",)), ("assistant", ("answer",))))),
     (("messages[]",), Mapping("messages")),
     (("conversations[]",), Mapping("conversations")),
     (("turns[]",), Mapping("turns")),
@@ -68,25 +76,35 @@ def fingerprint(found) -> str:
     return hashlib.sha256("\n".join(sorted(set(found))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-MAPPINGS = {fingerprint(fields): mapping for fields, mapping in LAYOUTS}
-
-
 def text_of(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def canonical(record: dict) -> tuple[str, list[tuple[str, str]] | None]:
-    """The fingerprint and the turns (role, text); None for an unknown layout. Null texts and roles are empty."""
-    mark = fingerprint(paths(record))
-    mapping = MAPPINGS.get(mark)
-    if mapping is None:
-        return mark, None
-    turns = [(role, "\n".join(t for f in fields if (t := text_of(record[f])))) for role, fields in mapping.fields]
-    if mapping.turns:
-        for turn in record[mapping.turns] or []:
-            role = text_of(turn[mapping.role])
-            turns.append((ROLES.get(role, role) if mapping.role == "from" else role, text_of(turn[mapping.text])))
-    return mark, turns
+class Canonical:
+    """Turns of records by layouts, each the paths that its records have and their mapping."""
+
+    def __init__(self, layouts: Layouts = LAYOUTS):
+        self.mappings = {fingerprint(fields): mapping for fields, mapping in layouts}
+        self.named = {field for fields, _ in layouts for field in fields}
+        # What lies under a text's path is part of the text, so it is no further field
+        self.under = tuple(f + more for f in self.named if not f.endswith("[]") for more in (".", "[]"))
+
+    def __call__(self, record: dict) -> tuple[str, list[tuple[str, str]] | None]:
+        """The fingerprint and the turns (role, text). Null and missing texts and roles are empty.
+
+        An unknown layout has None and the fingerprint of all its paths; so has a list of turns with other than objects.
+        """
+        found = set(paths(record))
+        mark = fingerprint(p for p in found if p in self.named or p.startswith(self.under))
+        mapping = self.mappings.get(mark)
+        rows = (record.get(mapping.turns) or []) if mapping and mapping.turns else []
+        if mapping is None or not all(isinstance(turn, dict) for turn in rows):
+            return fingerprint(found), None
+        turns = [(role, "\n".join(t for f in fields if (t := text_of(record.get(f))))) for role, fields in mapping.fields]
+        for turn in rows:
+            role = text_of(turn.get(mapping.role))
+            turns.append((ROLES.get(role, role) if mapping.role == "from" else role, text_of(turn.get(mapping.text))))
+        return mark, turns
 
 
 # --- template
@@ -137,13 +155,14 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 FORMATTED = "fingerprint string, formatted string, mask array<struct<start:int,end:int>>"
 
 
-def format_records(records: DataFrame, record: str = "record", key: str = "conv_id") -> DataFrame:
+def format_records(records: DataFrame, record: str = "record", key: str = "conv_id", layouts: Layouts = LAYOUTS) -> DataFrame:
     """(key, fingerprint, formatted, mask) of each JSON record.
 
-    An unknown layout keeps its fingerprint and has null formatted and mask, so no row is lost and new layouts can
+    layouts: pairs of field paths and mapping. Fields that none of them names are ignored. An unknown layout keeps its fingerprint and has null formatted and mask, so no row is lost and new layouts can
     be counted; null, broken and non-object records have the fingerprint "none". A record without turns is an
     empty string.
     """
+    canonical = Canonical(layouts)
 
     def apply(batches):
         mask_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

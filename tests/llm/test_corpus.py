@@ -222,6 +222,27 @@ def test_chat_layouts_by_fingerprint(spark):
     assert {out[i].fingerprint for i in (6, 7, 8)} == {"none"}
 
 
+def test_chat_further_fields_and_layouts_of_callers(spark):
+    said = [("user", "q"), ("assistant", "a")]
+    records = [
+        {"id": 7, "source": {"url": "x"}, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a", "weight": 1}]},
+        {"prompt": "q", "completion": "a", "system": "s", "tags": ["t"]},
+        {"id": 1, "messages": []},
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": [{"text": "a"}]}]},
+        {"prompt": "q", "response": "a", "answer": "b"},
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant"}]},
+        {"messages": [None]},
+        {"ask": "q", "say": "a", "id": 2},
+    ]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    own = ((("ask", "say"), chat.Mapping(fields=(("user", ("ask",)), ("assistant", ("say",))))),)
+    read = lambda f: {r.conv_id: None if r.formatted is None else chat.read_back(r.formatted) for r in f.collect()}
+    # Texts that no mapping reaches make a layout unknown, so they are never left out silently
+    assert read(chat.format_records(frame)) == {0: said, 1: [("system", "s"), *said], 2: [], 3: None, 4: None, 5: [said[0], ("assistant", "")], 6: None, 7: None}
+    assert read(chat.format_records(frame, layouts=(*chat.LAYOUTS, *own)))[7] == said
+    assert read(chat.format_records(frame, layouts=own)) == {**dict.fromkeys(range(7)), 7: said}
+
+
 def test_chat_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = spark.createDataFrame([(1, None, None, None), (1, 1, "user", ""), (None, 0, "user", "x"), (1, 1, "user", "")], schema)
