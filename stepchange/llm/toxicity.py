@@ -31,7 +31,7 @@ class FtrlParams:
     positive: float = 8.0  # weight of a toxic row, which is rarer than others
     epochs: int = 5
     shards: int = 4
-    labelled: int = 20_000  # rows that a model is fitted on at most, those with the least hash of the id
+    labelled: int = 20_000  # ids with a usable text that a model is fitted on at most, those with the least hash
     row_bytes: int = 1 << 20  # longer labelled texts are left out of the fit
 
 
@@ -108,18 +108,22 @@ def _epoch(params: FtrlParams, state):
 def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled rows (doc_id, toxic) whose crc32(doc_id) modulo 5 isn't 0.
 
-    Labels that are null are left out; several labels of one id count as the greatest. Without rows all weights are 0.
+    Labels that are null are left out; several labels of one id count as the greatest. Labels without a document, or
+    with only null or too long texts, take no place in the sample. Without rows all weights are 0.
     """
     spark = documents.sparkSession
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.length("text") <= params.row_bytes)
+    # Distinct in the tasks first, so that rows of one id don't meet in the join
+    usable = rows.where(F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).select("doc_id").distinct()
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder("doc_id", 5) != 0))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("label"))
+        .join(usable, "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(params.labelled)
     )
     # At most `labelled` ids, 16 bytes each: a broadcast of a known size
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.length("text") <= params.row_bytes)
     fitted = rows.join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("double").alias("label"), F.xxhash64("doc_id").alias("key"))
     # A shard is a bounded part of a bounded sample
     fitted = written(fitted.withColumn("shard", F.pmod("key", F.lit(params.shards))), "labelled")

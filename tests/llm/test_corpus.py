@@ -161,6 +161,19 @@ def test_toxicity_never_sees_held_out_labels(spark, documents):
     assert np.allclose(one[0], two[0]) and np.isclose(one[1], two[1])
 
 
+def test_toxicity_sample_is_of_usable_documents(spark):
+    texts = ["you rotten thing" if i % 4 == 0 else "you kind thing" for i in range(400)]
+    long = [(1000 + i, "rotten " * 50, "en", "s", 0) for i in range(200)] + [(1200 + i, None, "en", "s", 0) for i in range(200)]
+    own = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    others = spark.createDataFrame([(1000 + i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    params = toxicity.FtrlParams(labelled=100, row_bytes=100)
+    documents = frame_of(spark, texts)
+    alone = toxicity.train(documents, own, params)
+    among = toxicity.train(documents.union(spark.createDataFrame(long, SCHEMA)), own.union(others), params)
+    assert (alone[0] != 0).any()
+    assert np.allclose(alone[0], among[0]) and np.isclose(alone[1], among[1])
+
+
 # --- 2 line dedup
 
 
