@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepchange.functions.quantiles import exact_quantiles
 from stepchange.llm.common import GRAPHIC, Block, blocks, byte_table, mixed, remainder, row_of, row_sums, span_hashes, written
 
 RISK, DELTA = 0.02, 0.05
 #: Shares of good texts of the fitting half that a single rule rejects at each level.
 LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008)
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Width of the bins, each of 4,096 parts, in which a rank of a rate is looked for.
+RATE_BIN = 1 / 64
 SYMBOLS = byte_table(b"#*$%&|<>")
 CAPITALS, MARKS, LINE = byte_table(range(65, 91)), byte_table(b"!?"), byte_table(set(range(256)) - {10})
 MEASURES = {
@@ -129,6 +132,14 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
+def quantiles(rows: DataFrame, levels=LEVELS) -> DataFrame:
+    """(stratum, an array a measure): of each level the least value that a share 1 - level of the rows doesn't exceed.
+
+    Ranks are found by counts of bins and of one bin's parts, so no stratum meets in one task.
+    """
+    return exact_quantiles(rows, ["stratum"], {m: F.col(m) for m in MEASURES}, [1.0 - x for x in levels], RATE_BIN)
+
+
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, levels=LEVELS) -> dict[str, dict[str, float]]:
     """By stratum the cutoffs of the rules; a stratum without a level within the risk has none and rejects nothing.
 
@@ -138,8 +149,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     half = F.when(remainder("doc_id", 2) == 0, "fit").otherwise("holdout")
     rows = written(measures.where(~F.col("base_failed")).join(good, "doc_id").select("stratum", half.alias("half"), *MEASURES), "good")
-    shares = F.array(*[F.lit(1.0 - x) for x in levels])
-    fitted = rows.where("half = 'fit'").groupBy("stratum").agg(*[F.percentile(m, shares).alias(m) for m in MEASURES])
+    fitted = written(quantiles(rows.where("half = 'fit'"), levels), "cutoffs")
     exceeds = F.lit(False)
     for m in MEASURES:
         exceeds = exceeds | (F.col(m) > F.element_at(f"c_{m}", F.col("level")))
@@ -147,11 +157,11 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     tried = tried.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(len(levels)))))
     # Strata times levels: what the driver sees grows with the languages only
     seen = {(r.stratum, r.level): (r.k, r.n) for r in tried.groupBy("stratum", "level").agg(F.count(F.when(exceeds, 1)).alias("k"), F.count("*").alias("n")).collect()}
-    quantiles = {r.stratum: r for r in fitted.collect()}
+    found = {r.stratum: r for r in fitted.collect()}
     chosen = {}
-    for stratum, row in quantiles.items():
+    for stratum, row in found.items():
         level = 0
-        while (stratum, level + 1) in seen and upper_bound(*seen[stratum, level + 1], delta / len(quantiles)) <= risk:
+        while (stratum, level + 1) in seen and upper_bound(*seen[stratum, level + 1], delta / len(found)) <= risk:
             level += 1
         chosen[stratum] = {m: row[m][level - 1] for m in MEASURES} if level else {}
     return chosen

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -510,6 +511,20 @@ def test_exact_bounds():
     assert quality_rules.upper_bound(5, 5, 0.05) == 1.0
 
 
+def test_quantiles_of_rates_without_a_buffer_a_stratum(spark, capsys):
+    rng = random.Random(23)
+    rows = [("en" if i % 3 else "de", *[0.0 if rng.random() < 0.5 else rng.random() * (9 if m == "word_length" else 0.1) for m in quality_rules.MEASURES]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, ["stratum", *quality_rules.MEASURES])
+    fitted = quality_rules.quantiles(frame)
+    found = {r.stratum: r for r in fitted.collect()}
+    for stratum in ("en", "de"):
+        for i, m in enumerate(quality_rules.MEASURES):
+            values = sorted(r[i + 1] for r in rows if r[0] == stratum)
+            assert found[stratum][m] == [values[max(math.ceil(round((1 - x) * len(values), 6)), 1) - 1] for x in quality_rules.LEVELS]
+    fitted.explain()
+    assert "percentile" not in capsys.readouterr().out
+
+
 def test_cutoffs_hold_their_risk_and_reject_junk(spark):
     rng = random.Random(17)
     words = [f"word{i}" for i in range(2000)]
