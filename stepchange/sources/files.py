@@ -185,7 +185,8 @@ def build_missing_months(
     if missing:
         (
             build(missing)
-            .repartition("file_month")
+            # Together if small, a large month in parts of the advisory size
+            .hint("rebalance", "file_month")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("file_month")

@@ -68,6 +68,18 @@ def test_incremental_build_makes_only_missing_months(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_a_large_month_is_written_by_several_tasks(spark, tmp_path):
+    month, size = date(2024, 1, 1), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16k")
+    try:
+        table = files.build_missing_months(spark, str(tmp_path / "facts"), [month], lambda months: spark.range(0, 40_000, 1, 8).select(F.lit(months[0]).alias("file_month"), "id"))
+        assert table.select("_metadata.file_name").distinct().count() > 1
+        assert table.agg(F.count("id"), F.sum("id")).first() == (40_000, 40_000 * 39_999 // 2)
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_recompact_keeps_rows_and_schema(spark, tmp_path):
     source, target = str(tmp_path / "source"), str(tmp_path / "target")
     spark.range(1000).withColumn("x", F.col("id") * 2).coalesce(1).write.parquet(source)
