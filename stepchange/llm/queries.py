@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepchange.llm import chat, decontaminate, language, line_dedup, mixing, near_dup, quality_rules, secrets, suffix_dedup, toxicity
+from stepchange.llm import chat, decontaminate, language, line_dedup, mixing, near_dup, periodic_runs, pieces, quality_rules, secrets, suffix_dedup, toxicity, variants
 from stepchange.llm.common import table
 
+#: The public tokenizer that op 12 encodes with; its place on this machine is a parameter of the operator.
+TOKENIZER = "piece_bpe_32k.model"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -48,6 +51,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.report(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +78,9 @@ QUERIES = {
         op8_suffix_dedup,
         op9_secret_scan,
         op10_quality_rules,
+        op11_periodic_runs,
+        op12_sentencepiece,
+        op13_spelling_variants,
     )
 }
 #: The others are held against brute force, round trips or held-out accuracy in the tests.
