@@ -3,20 +3,20 @@
 Training runs in SHARDS tasks at a time: each goes once over its part of the labelled
 texts, updating its own copy of the per-coordinate state, and the copies are averaged
 after each epoch. The L1 term leaves most weights at exactly zero; what is broadcast is
-an array of 2**BITS floats at most, whatever the corpus. Scoring is one pass without a
-shuffle.
+an array of 2**BITS floats at most, whatever the corpus. A part of the learning rows sets
+where 0.5 is. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepchange.llm.common import ALNUM, Block, blocks, lowered, mixed, remainder, row_of, row_sums, span_hashes, written
+from stepchange.llm.common import ALNUM, Block, blocks, lowered, mixed, remainder, removed, row_of, row_sums, span_hashes, written
 
 
 @dataclass(frozen=True)
@@ -25,14 +25,19 @@ class FtrlParams:
     orders: tuple[int, ...] = (1, 2)  # n-grams
     skips: tuple[int, ...] = (1, 2)  # pairs of words with so many words between
     alpha: float = 20.0  # step of a coordinate: alpha / (beta + root of its squared gradients)
-    beta: float = 0.05
-    l1: float = 0.5
+    beta: float = 1.0
+    l1: float = 1.0
     l2: float = 0.0
-    positive: float = 8.0  # weight of a toxic row, which is rarer than others
+    bias_alpha: float = 0.1  # the bias begins at the sample's log odds and moves by smaller steps
+    positive: float = 8.0  # weight of a toxic row at most; less if fewer rows are clean
     epochs: int = 5
-    shards: int = 4
+    shards: int = 4  # at most
+    shard_rows: int = 5_000  # rows of a shard, unless that makes more than `shards`
+    clean: float = 0.98  # of the clean rows that set the cut-off, the least share left alone
+    calibration: int = 4  # one of so many learning rows sets the cut-off
     labelled: int = 20_000  # ids with a usable text that a model is fitted on at most, those with the least hash
     row_bytes: int = 1 << 20  # longer labelled texts are left out of the fit
+    sample_bytes: int = 1 << 28  # of all texts of a fit; ids beyond it are left out, those with the greatest hash first
 
 
 def features(block: Block, params: FtrlParams) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +81,17 @@ def probability(margin):
     return 1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def _epoch(params: FtrlParams, state):
+def bias_step(bias: np.ndarray, error: float, params: FtrlParams) -> None:
+    """One update of the bias (value, squared gradients), in place."""
+    bias[1] += error * error
+    bias[0] -= params.bias_alpha / (1.0 + np.sqrt(bias[1])) * error
+
+
+def _epoch(params: FtrlParams, state, positive: float):
     """One pass over a shard, as a table of the coordinates that it met; the bias stands at -1."""
 
     def fit(shard: pa.Table) -> pa.Table:
         z, n, bias = (x.copy() for x in state.value)
-        free = replace(params, l1=0.0, l2=0.0)
         # The same order in every run
         shard = shard.sort_by([("key", "ascending"), ("text", "ascending")])
         for batch in shard.select(["text", "label"]).to_batches():
@@ -92,26 +102,19 @@ def _epoch(params: FtrlParams, state):
                     at = found[bounds[i] : bounds[i + 1]]
                     value = scale(len(at))
                     w = weights(z[at], n[at], params)
-                    b = weights(bias[:1], bias[1:], free)[0]
-                    error = (probability(w.sum() * value + b) - label) * (params.positive if label else 1.0)
+                    error = (probability(w.sum() * value + bias[0]) - label) * (positive if label else 1.0)
                     g = error * value
                     z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / params.alpha * w
                     n[at] += g * g
-                    bias[0] += error - (np.sqrt(bias[1] + error * error) - np.sqrt(bias[1])) / params.alpha * b
-                    bias[1] += error * error
+                    bias_step(bias, error, params)
         used = np.flatnonzero(n > 0)
         return pa.table({"at": np.append(used, -1), "z": np.append(z[used], bias[0]), "n": np.append(n[used], bias[1])})
 
     return fit
 
 
-def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled rows (doc_id, toxic) whose crc32(doc_id) modulo 5 isn't 0.
-
-    Labels that are null are left out; several labels of one id count as the greatest. Labels without a document, or
-    with only null or too long texts, take no place in the sample. Without rows all weights are 0.
-    """
-    spark = documents.sparkSession
+def _sample(documents: DataFrame, labels: DataFrame, params: FtrlParams) -> DataFrame:
+    """(key, text, label, fold) of the learning rows, one text an id, written; at most `labelled` rows and `sample_bytes`."""
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.length("text") <= params.row_bytes)
     # Distinct in the tasks first, so that rows of one id don't meet in the join
     usable = rows.where(F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)).select("doc_id").distinct()
@@ -124,23 +127,75 @@ def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlPara
         .limit(params.labelled)
     )
     # At most `labelled` ids, 16 bytes each: a broadcast of a known size
-    fitted = rows.join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("double").alias("label"), F.xxhash64("doc_id").alias("key"))
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").cast("double").alias("label"), F.min("text").alias("text"))
+    found = written(found.select(F.xxhash64("doc_id").alias("key"), "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(params.calibration)).alias("fold")), "labelled")
+    sizes = found.select("key", F.length("text").alias("bytes")).toArrow().sort_by("key")
+    beyond = np.flatnonzero(np.cumsum(sizes["bytes"].to_numpy()) > params.sample_bytes)
+    return found.where(F.col("key") < int(sizes["key"][int(beyond[0])].as_py())) if len(beyond) else found
+
+
+def _fitted(sample: DataFrame, params: FtrlParams) -> tuple[np.ndarray, float]:
+    """Weights and bias of the sample's rows."""
+    spark = sample.sparkSession
+    sums = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    rows, toxic = int(sums[0]), float(sums[1])
+    positive = min(params.positive, max(1.0, (rows - toxic) / max(1.0, toxic)))
+    shards = max(1, min(params.shards, -(-rows // params.shard_rows)))
+    z, n = np.zeros(1 << params.bits), np.zeros(1 << params.bits)
+    bias = np.array([np.log((positive * toxic + 0.5) / (rows - toxic + 0.5)) if rows else 0.0, 0.0])
     # A shard is a bounded part of a bounded sample
-    fitted = written(fitted.withColumn("shard", F.pmod("key", F.lit(params.shards))), "labelled")
-    z, n, bias = np.zeros(1 << params.bits), np.zeros(1 << params.bits), np.zeros(2)
-    for _ in range(params.epochs):
+    sharded = sample.withColumn("shard", F.pmod("key", F.lit(shards)))
+    for _ in range(params.epochs if rows else 0):
         state = spark.sparkContext.broadcast((z, n, bias))
-        parts = fitted.groupBy("shard").applyInArrow(_epoch(params, state), "at long, z double, n double")
+        parts = sharded.groupBy("shard").applyInArrow(_epoch(params, state, positive), "at long, z double, n double")
         # A shard that never met a coordinate has no say in it
         mean = parts.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
         state.unpersist()
         at, new_z, new_n = (mean[c].to_numpy() for c in ("at", "z", "n"))
         inner = at >= 0
         z[at[inner]], n[at[inner]] = new_z[inner], new_n[inner]
-        if (~inner).any():
-            bias = np.array([new_z[~inner][0], new_n[~inner][0]])
-    b = weights(bias[:1], bias[1:], replace(params, l1=0.0, l2=0.0))[0]
-    return weights(z, n, params), float(b)
+        bias = np.array([new_z[~inner][0], new_n[~inner][0]])
+    return weights(z, n, params), float(bias[0])
+
+
+def cut_off(margins: np.ndarray, labels: np.ndarray, clean: float) -> float:
+    """The margin from which rows count as toxic: most recall and clean rows left alone, of these a share of `clean` at least.
+
+    The middle between the two rows that it parts; 0 if one of the classes has no rows.
+    """
+    if not (labels > 0).any() or (labels > 0).all():
+        return 0.0
+    order = np.argsort(margins, kind="stable")
+    margins, toxic = margins[order], labels[order] > 0
+    spared = np.append(0, np.cumsum(~toxic)) / (~toxic).sum()
+    caught = 1 - np.append(0, np.cumsum(toxic)) / toxic.sum()
+    # Between equal margins there is no cut
+    apart = np.concatenate([[True], margins[1:] > margins[:-1], [True]])
+    gain = np.where(apart & (spared >= clean), spared + caught, -1)
+    best = int(gain.argmax())
+    if best == len(margins):
+        return float(margins[-1]) + 1.0
+    return float(margins[best - 1] + margins[best]) / 2 if best else float(margins[0]) - 1.0
+
+
+def train(documents: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> tuple[np.ndarray, float]:
+    """Weights and bias from labelled rows (doc_id, toxic) whose crc32(doc_id) modulo 5 isn't 0.
+
+    Labels that are null are left out; several labels of one id count as the greatest, of several texts of one id the
+    least in byte order is learned from. Labels without a document, or with only null or too long texts, take no
+    place in the sample. The cut-off at 0.5 is set on rows that a first model has not seen; the second one has all
+    rows. Without rows all weights are 0.
+    """
+    sample = _sample(documents, labels, params)
+    first = _fitted(sample.where("fold <> 0"), params)
+    held = sample.where("fold = 0").select("key", "text", "label")
+    scored = score(held.withColumnRenamed("key", "doc_id"), first, params).select(F.col("doc_id").alias("key"), "score")
+    rows = held.select("key", "label").join(scored, "key").select("label", "score").toArrow()
+    chance = np.clip(rows["score"].to_numpy(), 1e-12, 1 - 1e-12)
+    cut = cut_off(np.log(chance / (1 - chance)), rows["label"].to_numpy(), params.clean)
+    w, b = _fitted(sample, params)
+    removed(sample)
+    return w, b - cut
 
 
 def block_scores(block: Block, w: np.ndarray, b: float, params: FtrlParams) -> np.ndarray:
