@@ -29,7 +29,9 @@ MARK = "▁"
 #: Stands for a byte that is no part of a character.
 INVALID = "\ufffd".encode()
 #: Segments and their pieces that a task remembers at most.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+#: Rows that are decoded at a time.
+DECODED = 128
 # Kinds of pieces and the kind of model, fixed values of the model format
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -312,34 +314,36 @@ def encoded(documents: DataFrame, model: bytes) -> DataFrame:
 def decoded(frame: DataFrame, model: bytes) -> DataFrame:
     """The frame with `text`, which the library decodes from `ids`, and `packed`, the ids as little-endian 32-bit integers.
 
-    Null ids are none. All columns stay; `text` and `packed` take the place of columns of these names.
+    Null ids are none. All other columns stay, but for `ids`, which `packed` stands for, and columns named `text` or
+    `packed`.
     """
     held = frame.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in frame.columns if c not in ("text", "packed")]
-    whole = frame.select(F.struct(*names).alias("row"), F.col("ids").alias("ids"))
+    names = [c for c in frame.columns if c not in ("ids", "text", "packed")]
+    whole = frame.select(F.struct(*names).alias("row"), "ids")
 
     def apply(batches):
         own = processor_of(held.value)
         for batch in batches:
-            lists = batch.column(1)
-            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))
-            parts = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-            texts = [own.decode(p.tolist()) if len(p) else "" for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([p.tobytes() for p in parts], pa.binary())], ["row", "text", "packed"])
+            # A few rows at a time, as their numbers are many times as large as Python's
+            for at in range(0, batch.num_rows, DECODED):
+                some = batch.slice(at, DECODED)
+                parts = [np.array(x.values, "<u4") if x.values is not None else np.zeros(0, "<u4") for x in some.column(1)]
+                texts = own.decode([p.tolist() for p in parts], num_threads=1)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string()), pa.array([p.tobytes() for p in parts], pa.binary())], ["row", "text", "packed"])
 
-    row = whole.schema["row"].dataType.simpleString()
     out = whole.mapInArrow(apply, whole.drop("ids").schema.add("text", "string").add("packed", "binary"))
     return out.select(*[F.col("row")[c].alias(c) for c in names], "text", "packed")
 
 
 def report(documents: DataFrame, path: str) -> DataFrame:
     """Digests of the ids and of the decoded text; n_source_bytes: source bytes that pieces cover (all, unless the model trims)."""
-    found = decoded(encoded(documents, model := read_model(path)), model)
+    model = read_model(path)
     covered = F.aggregate(F.zip_with("ends", "begins", lambda e, b: (e - b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select(
+    sized = encoded(documents, model).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), covered.alias("n_source_bytes"))
+    return decoded(sized, model).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
+        "n_tokens",
         F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-        covered.alias("n_source_bytes"),
+        "n_source_bytes",
     )
