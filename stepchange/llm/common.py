@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python step works on at a time.
 CHUNK = 1 << 19
 
+#: Where the tables of `written` are.
+_FOLDERS: WeakKeyDictionary = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session without that setting (a test) gets a folder of this machine.
+    Only a local session without that setting (a test) gets a folder of this machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
         folder = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,7 +41,18 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder, which a lost executor can't take along."""
     path = f"{shared_folder(frame.sparkSession)}/corpus/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    found = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    _FOLDERS[found] = path
+    return found
+
+
+def removed(*frames: DataFrame | None) -> None:
+    """Deletes the tables that `written` made, once what was built on them is written itself. Other frames are left alone."""
+    for frame in frames:
+        path = None if frame is None else _FOLDERS.pop(frame, None)
+        if path:
+            place = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -6,9 +6,11 @@
 2. Documents with equal sets are one node. Bands of ROWS bins put nodes into buckets.
 3. In each bucket one hub, the node that shares most buckets with others, is paired with the
    rest: a bucket of n nodes gives n-1 edges, not n*n/2. Edges are checked on the full sets.
-4. Linked nodes are joined into components. A bucket whose nodes are in several components
-   gets more hubs, GROWTH times as many in each round, until each of its nodes was one or all
-   are joined, so no pair that shares a bucket is lost; most buckets are done after one round.
+4. Linked nodes are joined into components. The nodes of buckets that still hold several of them
+   are grouped anew, by each shingle of their prefixes: sets that are similar enough have one of
+   their rarest shingles in common, so unlike texts with a common passage don't meet again. Such a
+   group gets hubs from outside its largest component, GROWTH times as many in each round, until
+   each of those nodes was one or all are joined, so no pair that shares a bucket is lost.
    What can be lost is a pair that shares no bucket: (1 - 0.75^6)^64, 4 in a million, at 0.75.
 
 Signatures and edges are tables in the shared folder; nothing of a document's size reaches
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepchange.llm.common import GRAPHIC, Block, blocks, lowered, mixed, span_hashes, written
+from stepchange.llm.common import GRAPHIC, Block, blocks, lowered, mixed, removed, span_hashes, written
 
 SHINGLE = 5
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
 SIMILARITY = 75  # of 100
-GROWTH = 256
+GROWTH = 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -125,7 +127,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b); root is the smallest node of the component.
 
     Alternates between joining larger neighbours and smaller neighbours to the smallest one, until nothing
-    changes; each turn is written to the shared folder.
+    changes; each turn is written to the shared folder and takes the place of the one before.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     seen = None
@@ -135,66 +137,129 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a")
-        edges = written(
+        before, edges = edges, written(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct(),
             "stars",
         )
+        removed(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")))
+            roots = written(roots.distinct(), "roots")
+            removed(edges)
+            return roots
         seen = now
 
 
+class Linker:
+    """Links among nodes so far: pairs that were checked, those that hold, and the components that they make."""
+
+    def __init__(self, sets: DataFrame, known: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.good, self.tested = known, None
+        self.roots = None if known.isEmpty() else components(known)
+
+    def unsettled(self, groups: DataFrame) -> DataFrame:
+        """The rows of groups (group, node, ...) that hold nodes of several components, with `root`, and the group's `least` and `most` root."""
+        if self.roots is None:
+            state = groups.withColumn("root", F.col("node"))
+        else:
+            state = groups.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = state.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group")
+        return state.join(several, "group")
+
+    def pair(self, state: DataFrame, hubs: DataFrame) -> None:
+        """Checks every hub (group, hub, hub_root, hub_n) with the nodes of its group that are in other components."""
+        least, most = F.least("n_shingles", "hub_n"), F.greatest("n_shingles", "hub_n")
+        edges = (
+            state.join(hubs, "group")
+            .where((F.col("root") != F.col("hub_root")) & (100 * least >= self.percent * most))
+            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            .distinct()
+        )
+        if self.tested is not None:
+            edges = edges.join(self.tested, ["a", "b"], "left_anti")
+        half = edges.join(self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+        whole = half.join(self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        checked = whole.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+        checked = written(checked.select("a", "b", similar(F.col("inter"), F.col("na"), F.col("nb"), self.percent).alias("ok")), "edges")
+        own = checked.select("a", "b")
+        self.tested = own if self.tested is None else self.tested.unionByName(own)
+        passed = checked.where("ok").select("a", "b")
+        if not passed.isEmpty():
+            self.good = self.good.unionByName(passed)
+            before, self.roots = self.roots, components(self.good)
+            removed(before)
+
+
+def rare_groups(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(group, node, n_shingles): nodes by each shingle of their prefix that another of the nodes has, too.
+
+    With the rarest shingles first, two sets that are similar enough have a shingle in common among the first
+    n - ceil(percent * n / 100) + 1 of each. Texts that share only what many texts share don't meet.
+    """
+    own = sets.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    # An id may have several sets
+    each = own.select(F.col("doc_id").alias("node"), F.size("shingles").alias("n_shingles"), F.xxhash64("shingles").alias("which"), F.explode("shingles").alias("group"))
+    often = each.groupBy("group").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "group").groupBy("node", "n_shingles", "which").agg(F.sort_array(F.collect_list(F.struct("often", "group"))).alias("ranked"))
+    n = F.col("n_shingles")
+    prefix = n - F.ceil(percent * n / 100).cast("int") + 1
+    first = ranked.select("node", "n_shingles", F.explode(F.filter(F.slice("ranked", F.lit(1), prefix), lambda x: x["often"] > 1)).alias("x"))
+    return first.select(F.col("x.group").alias("group"), "node", F.col("n_shingles").cast("long").alias("n_shingles"))
+
+
 def links(documents: DataFrame, nodes: DataFrame, known: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """(node, root) of the linked nodes among (node, n_shingles, bands); a node's text is that of its doc_id.
 
     known: links (a, b) that need no check.
     """
-    members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "n_shingles", F.explode("bands").alias("group"))
     # Written, so that the join's sides are plain exchanges, of which hot buckets can be split
-    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    live = written(members.join(sizes, "bucket"), "members")
-    degree = live.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
-    live = written(live.join(degree, "node").select("bucket", "node", "n_shingles", "degree"), "members")
+    sizes = written(members.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    met = written(members.join(sizes, "group"), "members")
+    removed(sizes)
+    degree = met.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
+    live = written(met.join(degree, "node").select("group", "node", "n_shingles", "degree"), "members")
+    removed(met)
     involved = live.select(F.col("node").alias("doc_id")).distinct()
     kind = documents.schema["doc_id"].dataType.simpleString()
     texts = _texts(documents).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = written(texts.mapInArrow(_full_sets, f"doc_id {kind}, shingles array<long>"), "sets")
-    good, hubs, tested, turn = known, None, None, 0
-    roots = None if known.isEmpty() else components(known)
-    while True:
-        state = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = state.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        state = state.join(several, "bucket")
-        fresh = state if hubs is None else state.join(hubs, ["bucket", "node"], "left_anti")
-        part = F.pmod(F.xxhash64("node"), F.lit(GROWTH ** min(turn, 7)))
-        best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "root", "n_shingles")).alias("best")
-        chosen = fresh.groupBy("bucket", part.alias("part")).agg(best)
-        chosen = written(chosen.select("bucket", (-F.col("best.minus")).alias("hub"), F.col("best.root").alias("hub_root"), F.col("best.n_shingles").alias("hub_n")), "hubs")
-        if chosen.isEmpty():
+    linker = Linker(sets, known, percent)
+    # A star in each bucket: its hub with the rest
+    state = linker.unsettled(live)
+    best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "root", "n_shingles")).alias("best")
+    hub = [(-F.col("best.minus")).alias("hub"), F.col("best.root").alias("hub_root"), F.col("best.n_shingles").alias("hub_n")]
+    hubs = written(state.groupBy("group").agg(best).select("group", *hub), "hubs")
+    if not hubs.isEmpty():
+        linker.pair(state, hubs)
+    removed(hubs)
+    open_ = written(linker.unsettled(live).select("node").distinct(), "open")
+    removed(live)
+    groups, done, turn = None, None, 0
+    if not open_.isEmpty():
+        groups = written(rare_groups(sets, open_, percent), "rare")
+    while groups is not None:
+        state = linker.unsettled(groups)
+        # Pairs with the largest component are met from the other side
+        sizes = state.groupBy("group", "root").agg(F.count("*").alias("size"))
+        largest = sizes.groupBy("group").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+        fresh = state.join(largest, "group").where("root <> largest")
+        fresh = fresh if done is None else fresh.join(done, ["group", "node"], "left_anti")
+        part = F.pmod(F.xxhash64("node"), F.lit(GROWTH**turn))
+        best = F.min(F.struct("node", "root", "n_shingles")).alias("best")
+        chosen = fresh.groupBy("group", part.alias("part")).agg(best)
+        hub = [F.col("best.node").alias("hub"), F.col("best.root").alias("hub_root"), F.col("best.n_shingles").alias("hub_n")]
+        hubs = written(chosen.select("group", *hub), "hubs")
+        if hubs.isEmpty():
             break
-        least, most = F.least("n_shingles", "hub_n"), F.greatest("n_shingles", "hub_n")
-        edges = (
-            state.join(chosen, "bucket")
-            .where((F.col("root") != F.col("hub_root")) & (100 * least >= percent * most))
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        half = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        whole = half.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        checked = whole.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-        checked = written(checked.select("a", "b", similar(F.col("inter"), F.col("na"), F.col("nb"), percent).alias("ok")), "edges")
-        own = chosen.select("bucket", F.col("hub").alias("node"))
-        hubs = own if hubs is None else hubs.unionByName(own)
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        passed = checked.where("ok").select("a", "b")
-        if not passed.isEmpty():
-            good = good.unionByName(passed)
-            roots = components(good)
-        turn += 1
-    return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
+        linker.pair(state, hubs)
+        own = hubs.select("group", F.col("hub").alias("node"))
+        done = own if done is None else done.unionByName(own)
+        turn = min(turn + 1, 12)
+    removed(open_, groups, sets)
+    return linker.roots if linker.roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 
 def near_duplicates(documents: DataFrame, percent: int = SIMILARITY) -> DataFrame:
@@ -216,7 +281,8 @@ def near_duplicates(documents: DataFrame, percent: int = SIMILARITY) -> DataFram
     # An id with several sets ties their classes together
     several = real.groupBy("doc_id").agg((F.min(F.struct(*key)) != F.max(F.struct(*key))).alias("several")).where("several").select("doc_id")
     ties = real.join(several, "doc_id", "left_semi").join(classes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    roots = links(documents, own.select("node", "n_shingles", "bands"), written(ties, "ties"), percent)
+    ties = written(ties, "ties")
+    roots = links(documents, own.select("node", "n_shingles", "bands"), ties, percent)
     # A class without links is its own component; an id that ties classes is a node itself
     rooted = classes.join(roots, "node", "left").select(*[F.col(c).alias(f"of_{c}") for c in key], F.coalesce("root", "node").alias("root"))
     same = F.lit(True)
