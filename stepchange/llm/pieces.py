@@ -178,17 +178,27 @@ class Model:
             data = np.frombuffer(text, np.uint8)
             places = np.repeat(np.arange(len(text)), np.where(data == 32, len(mark), 1))
         else:
-            parts, ats, open_space = [], [], self.trim
+            parts, ats, open_space, head = [], [], self.trim, 0 if self.trim else None
             for source, part in self._parts(text):
+                if head is not None:
+                    # Keys and characters that are a space are no part of a trimmed text
+                    head = source
+                    if part == space:
+                        continue
+                    if self.dummy and not self.suffix_mark:
+                        parts.append(mark)
+                        ats.append(head)
+                    head = None
                 while open_space and part.startswith(space):
                     part = part[1:]
                 if part:
-                    open_space = part.endswith(space)
-                    part = part.replace(space, mark)
-                    parts.append(part)
+                    open_space = self.trim and part.endswith(space)
+                    parts.append(part.replace(space, mark))
                     ats.append(source)
-                if not self.trim:
+                elif not self.trim:
                     open_space = False
+            if head is not None:
+                return b"", np.zeros(1, np.int64)
             out = b"".join(parts)
             places = np.repeat(np.array(ats, np.int64), [len(p) for p in parts])
             end = len(text)
@@ -196,17 +206,16 @@ class Model:
                 out = out[: -len(mark)]
                 end = int(places[len(out)])
                 places = places[: len(out)]
-            if self.trim and not out and not text.strip(space):
-                return b"", np.zeros(1, np.int64)
-            return self._with_dummy(out, places, end, mark)
+            if not self.trim or self.suffix_mark:
+                return self._with_dummy(out, places, end, mark)
+            return out, np.append(places, end)
         return self._with_dummy(out, places, len(text), mark)
 
     def _with_dummy(self, out: bytes, places: np.ndarray, end: int, mark: bytes) -> tuple[bytes, np.ndarray]:
         if self.dummy and self.suffix_mark:
             return out + mark, np.concatenate([places, np.full(len(mark) + 1, end)])
         if self.dummy:
-            start = places[0] if len(places) else end
-            return mark + out, np.concatenate([np.full(len(mark), start), places, [end]])
+            return mark + out, np.concatenate([np.zeros(len(mark), np.int64), places, [end]])
         return out, np.append(places, end)
 
     def _parts(self, text: bytes):
