@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepchange.config import StudyConfig
 from stepchange.functions import columns as C
+from stepchange.functions import quantiles
 from stepchange.functions.quantiles import exact_quantiles, group_quantiles
 from stepchange.operators import compare, labels as names, profile, summary
 
@@ -104,6 +105,50 @@ def test_one_hot_bin_is_cut_into_parts(spark):
     assert found.v == [values[49_999], values[99_999]]
 
 
+ODD_DOUBLES = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1074 * 3, 1.7e308, -1.7e308, 1.0, np.nextafter(1, 0), np.nextafter(1, 2), 8.0, np.nextafter(8, 0)]
+
+
+def test_large_groups_are_located_like_small_ones(spark):
+    rng = np.random.default_rng(4)
+    values = [*ODD_DOUBLES, *rng.normal(0, 1, 300), *(5 + rng.random(300) * 1e-4), *rng.integers(-3, 3, 200).astype(float), float("inf"), -float("inf")]
+    rows = [("a", float(v), float(-v)) for v in values] + [("a", None, 1.0), ("b", 1.0, None), (None, 2.0, 3.0)]
+    data = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+    probs, measures, counts = [0.001, 0.1, 0.25, 0.5, 0.75, 0.999], {"v": F.col("v"), "w": F.col("w")}, [F.count("*").alias("n")]
+    small = {r.k: r for r in exact_quantiles(data, ["k"], measures, probs, counts).collect()}
+    large = {r.k: r for r in exact_quantiles(data, ["k"], measures, probs, counts, small=0).collect()}
+    mixed = {r.k: r for r in exact_quantiles(data, ["k"], measures, probs, counts, small=10).collect()}
+    assert small == large == mixed and set(small) == {"a", "b", None}
+    ordered = sorted(values)
+    assert small["a"].v == [ordered[max(int(np.ceil(round(p * len(values), 6))), 1) - 1] for p in probs]
+    assert small["a"].n == len(values) + 1 and small["b"].w is None and small[None].v == [2.0] * 6
+
+
+def test_parts_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    values = sorted([*ODD_DOUBLES, *rng.normal(0, 1e-200, 500), *rng.normal(0, 1e200, 500), *(1 + rng.random(500) * 1e-12), float("inf"), -float("inf")])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    found = rows.select("v", *[p.alias(f"p{i}") for i, p in enumerate(quantiles._parts(F.col("v")))]).collect()
+    keys = [(r.p0, r.p1, r.p2) for r in sorted(found, key=lambda r: r.v)]
+    assert keys == sorted(keys)
+
+
+def test_close_values_of_a_hot_group_are_spread(spark):
+    # Five million distinct values within 1e-4: no part that is put in order has more than a hundredth of them
+    value = 5 + F.col("id") * 2e-11
+    data = spark.range(5_000_000, numPartitions=8).select(value.alias("v"))
+    parts = data.groupBy(*quantiles._parts(F.col("v"))).agg(F.count("*").alias("n"), F.countDistinct("v").alias("d"))
+    assert parts.agg(F.max("n")).first()[0] < 50_000 and parts.agg(F.sum("d")).first()[0] == 5_000_000
+
+
+def test_counts_and_small_medians_come_from_one_pass(spark, tmp_path):
+    spark.range(4000).select((F.col("id") % 7).alias("k"), (F.col("id") % 101).cast("double").alias("v")).write.parquet(str(tmp_path / "t"))
+    data = spark.read.parquet(str(tmp_path / "t"))
+    found = exact_quantiles(data, ["k"], {"v": F.col("v")}, [0.5], [F.count("*").alias("n")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Once in the first and once in the final part of an adaptive plan at most
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_hourly_shares_and_fees(spark):
     cfg = replace(CFG)
     data = spark.sql(
