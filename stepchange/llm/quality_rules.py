@@ -28,8 +28,6 @@ RISK, DELTA = 0.02, 0.05
 #: Shares of good texts of the fitting half that a single rule rejects at each level.
 LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008)
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Width of the bins, each of 4,096 parts, in which a rank of a rate is looked for.
-RATE_BIN = 1 / 64
 SYMBOLS = byte_table(b"#*$%&|<>")
 CAPITALS, MARKS, LINE = byte_table(range(65, 91)), byte_table(b"!?"), byte_table(set(range(256)) - {10})
 MEASURES = {
@@ -137,7 +135,7 @@ def quantiles(rows: DataFrame, levels=LEVELS) -> DataFrame:
 
     Ranks are found by counts of bins and of one bin's parts, so no stratum meets in one task.
     """
-    return exact_quantiles(rows, ["stratum"], {m: F.col(m) for m in MEASURES}, [1.0 - x for x in levels], RATE_BIN)
+    return exact_quantiles(rows, ["stratum"], {m: F.col(m) for m in MEASURES}, [1.0 - x for x in levels])
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, levels=LEVELS) -> dict[str, dict[str, float]]:
