@@ -272,6 +272,21 @@ def stage_histograms(raw: DataFrame, cleaned: DataFrame, cfg: StudyConfig) -> Da
     return histograms(stages[0].unionByName(stages[1]), cfg.histogram_specs, ["stage"])
 
 
+def staged_histograms(staged: DataFrame, passed: Column, cfg: StudyConfig) -> DataFrame:
+    """The same from one scan: rows are counted by whether they pass, raw is both."""
+    used = [spec[0] for spec in cfg.histogram_specs]
+    rows = add_money_columns(staged, cfg).select(C.is_true(passed).alias("is_clean"), *used)
+    counts = histograms(rows, cfg.histogram_specs, ["is_clean"])
+    stages = F.explode(
+        F.array_compact(F.array(F.lit("raw"), F.when(F.col("is_clean"), F.lit("cleaned"))))
+    )
+    return (
+        counts.select("*", stages.alias("stage"))
+        .groupBy("stage", "column", "bin", "left")
+        .agg(F.sum("count").alias("count"))
+    )
+
+
 def end_bin_share(counts: DataFrame, column: str) -> DataFrame:
     """Percent of a histogram in its first and in its last bin, by stage."""
     total = F.sum("count")

@@ -76,6 +76,23 @@ def rules(cfg: StudyConfig) -> list[Rule]:
     ]
 
 
+#: Position of the first rule that a staged trip fails, or the number of rules.
+FAILED = "failed_rule"
+
+
+def first_failed_position(cfg: StudyConfig) -> Column:
+    """Position of the first rule a row fails, or the number of rules; no condition is evaluated twice."""
+    steps = rules(cfg)
+    return C.first_match(
+        ((~C.is_true(rule.keep), number) for number, rule in enumerate(steps)), len(steps)
+    )
+
+
+def _failed(data: DataFrame, cfg: StudyConfig) -> Column:
+    """The stored position of a staged trip, or the expression."""
+    return F.col(FAILED) if FAILED in data.columns else first_failed_position(cfg)
+
+
 def clean(data: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Rows that pass every rule.
 
@@ -92,10 +109,7 @@ def cleaning_funnel(data: DataFrame, cfg: StudyConfig, raw_columns: int | str) -
     """Rows left after each rule, from one aggregate over the data."""
     steps = rules(cfg)
     kept_columns = str(len(cfg.columns))
-    # Position of the first failed rule, so no condition is evaluated twice
-    failed = C.first_match(
-        ((~C.is_true(rule.keep), number) for number, rule in enumerate(steps)), len(steps)
-    )
+    failed = _failed(data, cfg)
     counts = [
         F.count_if(F.col("failed") > number).alias(f"s{number}") for number in range(len(steps))
     ]
@@ -131,9 +145,11 @@ def cleaning_funnel(data: DataFrame, cfg: StudyConfig, raw_columns: int | str) -
     )
 
 
-def first_failed_rule(cfg: StudyConfig) -> Column:
-    """Name of the first rule a row fails, or ``kept``."""
-    return C.first_match(((~C.is_true(rule.keep), rule.name) for rule in rules(cfg)), "kept")
+def first_failed_rule(cfg: StudyConfig, position: Column | None = None) -> Column:
+    """Name of the first rule a row fails, or ``kept``; ``position`` is a stored one."""
+    names = [*(rule.name for rule in rules(cfg)), "kept"]
+    position = first_failed_position(cfg) if position is None else position
+    return F.element_at(F.array(*map(F.lit, names)), position + 1)
 
 
 def join_zone_roles(
@@ -164,12 +180,14 @@ def known_groups(labels: DataFrame, cfg: StudyConfig) -> DataFrame:
 def removals_by_group(data: DataFrame, labels: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Raw rows by year, trip group and the first rule they fail."""
     grouped = labels.where(F.col("zone_group").isNotNull())
+    named = data.withColumn("rule", first_failed_rule(cfg, _failed(data, cfg)))
+    own = named.select(cfg.origin, cfg.destination, "file_month", "rule")
     return (
-        join_zone_roles(data, grouped, "zone_group", cfg, "left")
+        join_zone_roles(own, grouped, "zone_group", cfg, "left")
         .groupBy(
             F.year("file_month").alias("year"),
             C.audit_group(F.col("pickup_group"), F.col("dropoff_group")).alias("trip_group"),
-            first_failed_rule(cfg).alias("rule"),
+            "rule",
         )
         .agg(F.count("*").alias("rows"))
     )
@@ -197,14 +215,17 @@ def removal_shares(removals: DataFrame, cfg: StudyConfig) -> DataFrame:
     return wide.fillna(0, subset=layout)
 
 
-def add_columns(data: DataFrame, labels: DataFrame, cfg: StudyConfig) -> DataFrame:
+def add_columns(
+    data: DataFrame, labels: DataFrame, cfg: StudyConfig, how: str = "inner"
+) -> DataFrame:
     """Earnings, zone and trip groups and calendar columns of cleaned trips.
 
     Earnings are unknown where the distance was not measured. Earnings per
     engaged hour are also unknown for shared rides and a missing shared flag.
+    ``how`` says whether trips with an unlabelled zone go (inner) or stay (left).
     """
     day = F.to_date(cfg.pickup)
-    joined = join_zone_roles(data, known_groups(labels, cfg), "zone_group_fine", cfg, "inner")
+    joined = join_zone_roles(data, known_groups(labels, cfg), "zone_group_fine", cfg, how)
     return (
         joined.withColumns(
             {

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from stepchange.operators import compare, enrich, labels as names, profile, qual
 from stepchange.plans import driver_tables as tables
 from stepchange.plans.driver_tables import STUDY
 from stepchange.plans.oracle import HOLIDAY, RULES, pct, sql
-from stepchange.sources import files, monthly
+from stepchange.sources import files, monthly, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,12 +45,44 @@ def r6(*columns: str) -> str:
 # Shared inputs --------------------------------------------------------------
 
 
+KEPT = staged.Stages()
+TRIP_TABLES = ("lineitem", "orders", "customer", "supplier", "nation")
+
+
+def _root(spark: SparkSession) -> Callable[[], str]:
+    return lambda: files.shared_folder(spark)
+
+
+def stage(spark: SparkSession, folder: str) -> DataFrame:
+    """The stage table of a folder's trips, stored once a session."""
+
+    def build() -> DataFrame:
+        return staged.stage(tables.trips(spark, folder), zone_labels(spark, folder), STUDY)
+
+    paths = [f"{folder}/{name}.parquet" for name in TRIP_TABLES]
+    return KEPT.get(spark, "trips", paths, build, _root(spark), staged.write_months)
+
+
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary of every cell and date that has trips, stored once a session."""
+    paths = [f"{folder}/{name}.parquet" for name in TRIP_TABLES]
+
+    def build() -> DataFrame:
+        return summary.summarise(analysed(spark, folder), STUDY)
+
+    return KEPT.get(spark, "facts", paths, build, _root(spark))
+
+
 def raw_trips(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.trips(spark, folder)
+    return staged.raw(stage(spark, folder), STUDY)
 
 
 def timed(spark: SparkSession, folder: str) -> DataFrame:
-    return trips.add_trip_time(raw_trips(spark, folder), STUDY)
+    return staged.timed(stage(spark, folder), STUDY)
+
+
+def cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return staged.cleaned(stage(spark, folder), STUDY)
 
 
 def zone_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,19 +90,17 @@ def zone_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def analysed(spark: SparkSession, folder: str) -> DataFrame:
-    return trips.analysed(raw_trips(spark, folder), zone_labels(spark, folder), STUDY)
+    return staged.analysed(stage(spark, folder), STUDY)
 
 
 def cube(spark: SparkSession, folder: str) -> DataFrame:
-    return summary.build_cube(raw_trips(spark, folder), zone_labels(spark, folder), STUDY)
+    return summary.summary_cube(facts(spark, folder), zone_labels(spark, folder), STUDY)
 
 
 def kept_cube(spark: SparkSession, folder: str) -> DataFrame:
-    """The cube, kept for queries that read it more than once.
-
-    It is a few rows a cell and date, however many trips there are.
-    """
-    return cube(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+    """The cube, stored for queries that read it more than once."""
+    paths = [f"{folder}/{name}.parquet" for name in TRIP_TABLES]
+    return KEPT.get(spark, "cube", paths, lambda: cube(spark, folder), _root(spark))
 
 
 def weather(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,15 +112,14 @@ def model_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kept_model_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The model table, kept for queries that fit several models to it."""
-    return model_table(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+    """The model table, stored for queries that fit several models to it."""
+    paths = [f"{folder}/{name}.parquet" for name in TRIP_TABLES]
+    return KEPT.get(spark, "model", paths, lambda: model_table(spark, folder), _root(spark))
 
 
 def zone_change(spark: SparkSession, folder: str) -> DataFrame:
-    data, zones = analysed(spark, folder), zone_labels(spark, folder)
-    medians = compare.zone_medians(data, STUDY)
-    dense = summary.summary_cube(summary.summarise(data, STUDY), zones, STUDY)
-    return compare.zone_change(dense, medians, STUDY)
+    medians = compare.zone_medians(analysed(spark, folder), STUDY)
+    return compare.zone_change(cube(spark, folder), medians, STUDY)
 
 
 def named_change(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +151,7 @@ TRIP_COLUMNS = ", ".join([*STUDY.columns, "file_month"])
     "trips",
 )
 def conform_schema(spark, folder):
-    drifted = _drifted(raw_trips(spark, folder), fee=False, wide_ids=True)
+    drifted = _drifted(tables.trips(spark, folder), fee=False, wide_ids=True)
     return monthly.conform(drifted, STUDY, F.col("file_month"))
 
 
@@ -136,7 +164,7 @@ def conform_schema(spark, folder):
     "trips",
 )
 def union_months(spark, folder):
-    data = raw_trips(spark, folder)
+    data = tables.trips(spark, folder)
     year = F.year("file_month")
     early, middle, late = (data.where(w) for w in (year <= 1998, year == 1999, year >= 2000))
     parts = [
@@ -329,7 +357,7 @@ def trip_time(spark, folder):
     "cleaned",
 )
 def clean_trips(spark, folder):
-    return rounded(trips.clean(timed(spark, folder), STUDY))
+    return rounded(cleaned(spark, folder))
 
 
 def _funnel_sql() -> str:
@@ -398,7 +426,7 @@ def removal_shares(spark, folder):
     "analysed",
 )
 def time_bands(spark, folder):
-    data = trips.clean(timed(spark, folder), STUDY).withColumn("hour", F.hour(STUDY.pickup))
+    data = cleaned(spark, folder).withColumn("hour", F.hour(STUDY.pickup))
     return data.groupBy("hour", C.time_band(F.col("hour"), STUDY).alias("time_band")).agg(
         F.count("*").alias("trips")
     )
@@ -1082,8 +1110,7 @@ STAGES = f"""(select 'raw' as stage, * from {MONEY} union all
 
 
 def _stages(spark, folder):
-    raw = timed(spark, folder)
-    return profile.stage_histograms(raw, trips.clean(raw, STUDY), STUDY)
+    return profile.staged_histograms(timed(spark, folder), staged.passed(STUDY), STUDY)
 
 
 @query(
@@ -1392,10 +1419,9 @@ def join_shapes(spark, folder):
     "cleaned",
 )
 def reconcile_totals(spark, folder):
-    zones = zone_labels(spark, folder)
-    cleaned = trips.clean(timed(spark, folder), STUDY)
-    facts = summary.summarise(trips.add_columns(cleaned, zones, STUDY), STUDY)
-    return quality.reconcile_totals(summary.summary_cube(facts, zones, STUDY), facts, cleaned)
+    return quality.reconcile_totals(
+        cube(spark, folder), facts(spark, folder), cleaned(spark, folder)
+    )
 
 
 @query(

@@ -202,3 +202,63 @@ def test_calendar_columns(spark):
     row = trips.add_columns(frame(spark, [trip()]), labels(spark), CFG).first()
     assert (row.date, row.hour, row.time_band) == (date(2025, 3, 12), 10, "midday")
     assert row.day_of_week == 3 and row.after_toll
+
+
+# The stage table --------------------------------------------------------------
+
+
+def test_stage_table_gives_what_the_operators_give(spark, tmp_path):
+    from stepchange.sources import staged
+
+    rng = __import__("random").Random(3)
+    made = [
+        trip(
+            **{
+                CFG.origin: rng.choice([1, 2, 3, 4, 264, 99, None]),
+                CFG.destination: rng.choice([1, 2, 3, 4, 265, 99]),
+                CFG.distance: rng.choice([0.0, 2.0, 150.0, None]),
+                CFG.pay: rng.choice([-1.0, 20.0, 900.0, None]),
+            }
+        )
+        for _ in range(300)
+    ]
+    raw, zones = spark.createDataFrame(made, SCHEMA), labels(spark)
+    staged.write_months(staged.stage(raw, zones, CFG), str(tmp_path / "stage"))
+    stored = spark.read.parquet(str(tmp_path / "stage"))
+    for one, other in (
+        (staged.raw(stored, CFG), raw),
+        (staged.cleaned(stored, CFG), trips.clean(trips.add_trip_time(raw, CFG), CFG)),
+        (staged.analysed(stored, CFG), trips.analysed(raw, zones, CFG)),
+        (trips.cleaning_funnel(staged.timed(stored, CFG), CFG, 9), trips.cleaning_funnel(trips.add_trip_time(raw, CFG), CFG, 9)),
+        (
+            trips.removals_by_group(staged.timed(stored, CFG), zones, CFG),
+            trips.removals_by_group(trips.add_trip_time(raw, CFG), zones, CFG),
+        ),
+    ):
+        assert sorted(one.columns) == sorted(other.columns)
+        assert one.select(*other.columns).exceptAll(other).count() == 0 == other.exceptAll(one.select(*other.columns)).count()
+        assert other.count() > 0
+    # The rules are one comparison on a stored column, which reaches the files
+    plan = staged.analysed(stored, CFG).select(CFG.pay)._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo({trips.FAILED}," in plan.split("PushedFilters")[1] and "Join" not in plan
+    assert "trip_miles" not in plan.split("ReadSchema")[1]
+
+
+def test_stages_are_stored_once_and_again_after_a_change(spark, tmp_path):
+    from stepchange.sources import staged
+
+    stages, built = staged.Stages(), []
+    source = str(tmp_path / "in")
+    spark.range(5).write.parquet(source)
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source).selectExpr("id * 2 as twice")
+
+    def get():
+        return stages.get(spark, "t", [source], build, lambda: str(tmp_path / f"out{len(built)}"))
+
+    assert sorted(r.twice for r in get().collect()) == sorted(r.twice for r in get().collect()) == [0, 2, 4, 6, 8]
+    assert len(built) == 1
+    spark.range(7).write.mode("overwrite").parquet(source)
+    assert get().count() == 7 and len(built) == 2
