@@ -8,9 +8,9 @@
    rest: a bucket of n nodes gives n-1 edges, not n*n/2. Edges are checked on the full sets.
 4. Linked nodes are joined into components. The nodes of buckets that still hold several of them
    are grouped anew, by each shingle of their prefixes: sets that are similar enough have one of
-   their rarest shingles in common, so unlike texts with a common passage don't meet again. Such a
-   group gets hubs from outside its largest component, GROWTH times as many in each round, until
-   each of those nodes was one or all are joined, so no pair that shares a bucket is lost.
+   their rarest shingles in common, so unlike texts with a common passage don't meet again, and
+   enough shingles must come after it in both. Such a group gets hubs from outside its largest
+   component, first one, then some, then all that are left, so no pair that shares a bucket is lost.
    What can be lost is a pair that shares no bucket: (1 - 0.75^6)^64, 4 in a million, at 0.75.
 
 Signatures and edges are tables in the shared folder; nothing of a document's size reaches
@@ -32,7 +32,8 @@ SHINGLE = 5
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
 SIMILARITY = 75  # of 100
-GROWTH = 16
+#: Hubs that a group of a rare shingle gets in each round; 0: all nodes outside its largest component that weren't one.
+HUBS = (1, 32, 0)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -169,14 +170,17 @@ class Linker:
         return state.join(several, "group")
 
     def pair(self, state: DataFrame, hubs: DataFrame) -> None:
-        """Checks every hub (group, hub, hub_root, hub_n) with the nodes of its group that are in other components."""
-        least, most = F.least("n_shingles", "hub_n"), F.greatest("n_shingles", "hub_n")
-        edges = (
-            state.join(hubs, "group")
-            .where((F.col("root") != F.col("hub_root")) & (100 * least >= self.percent * most))
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            .distinct()
-        )
+        """Checks every hub (group, hub, hub_root, hub_n) with the nodes of its group that are in other components.
+
+        With a `place` of the group's shingle in the sets, and a `hub_place`, pairs go that can't be similar enough if
+        this is their first common shingle: their sets must share `overlap` shingles, all from here on.
+        """
+        n, m = F.col("n_shingles"), F.col("hub_n")
+        near = (F.col("root") != F.col("hub_root")) & (100 * F.least(n, m) >= self.percent * F.greatest(n, m))
+        if "place" in state.columns:
+            overlap = F.ceil(self.percent * (n + m) / (100 + self.percent) - 1e-9)
+            near = near & (n - F.col("place") >= overlap) & (m - F.col("hub_place") >= overlap)
+        edges = state.join(hubs, "group").where(near).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if self.tested is not None:
             edges = edges.join(self.tested, ["a", "b"], "left_anti")
         half = edges.join(self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -193,10 +197,11 @@ class Linker:
 
 
 def rare_groups(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(group, node, n_shingles): nodes by each shingle of their prefix that another of the nodes has, too.
+    """(group, node, n_shingles, place): nodes by each shingle of their prefix that another of the nodes has, too.
 
     With the rarest shingles first, two sets that are similar enough have a shingle in common among the first
-    n - ceil(percent * n / 100) + 1 of each. Texts that share only what many texts share don't meet.
+    n - ceil(percent * n / 100) + 1 of each. Texts that share only what many texts share don't meet. place: how many
+    shingles of the set come before.
     """
     own = sets.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     # An id may have several sets
@@ -205,8 +210,9 @@ def rare_groups(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     ranked = each.join(often, "group").groupBy("node", "n_shingles", "which").agg(F.sort_array(F.collect_list(F.struct("often", "group"))).alias("ranked"))
     n = F.col("n_shingles")
     prefix = n - F.ceil(percent * n / 100).cast("int") + 1
-    first = ranked.select("node", "n_shingles", F.explode(F.filter(F.slice("ranked", F.lit(1), prefix), lambda x: x["often"] > 1)).alias("x"))
-    return first.select(F.col("x.group").alias("group"), "node", F.col("n_shingles").cast("long").alias("n_shingles"))
+    placed = F.transform(F.slice("ranked", F.lit(1), prefix), lambda x, i: F.struct(x["often"].alias("often"), x["group"].alias("group"), i.alias("place")))
+    first = ranked.select("node", "n_shingles", F.explode(F.filter(placed, lambda x: x["often"] > 1)).alias("x"))
+    return first.select(F.col("x.group").alias("group"), "node", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("x.place").alias("place"))
 
 
 def links(documents: DataFrame, nodes: DataFrame, known: DataFrame, percent: int = SIMILARITY) -> DataFrame:
@@ -237,27 +243,26 @@ def links(documents: DataFrame, nodes: DataFrame, known: DataFrame, percent: int
     removed(hubs)
     open_ = written(linker.unsettled(live).select("node").distinct(), "open")
     removed(live)
-    groups, done, turn = None, None, 0
-    if not open_.isEmpty():
-        groups = written(rare_groups(sets, open_, percent), "rare")
-    while groups is not None:
+    groups = None if open_.isEmpty() else written(rare_groups(sets, open_, percent), "rare")
+    done = None
+    for hubs_each in [] if groups is None else HUBS:
         state = linker.unsettled(groups)
         # Pairs with the largest component are met from the other side
         sizes = state.groupBy("group", "root").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("group").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
         fresh = state.join(largest, "group").where("root <> largest")
-        fresh = fresh if done is None else fresh.join(done, ["group", "node"], "left_anti")
-        part = F.pmod(F.xxhash64("node"), F.lit(GROWTH**turn))
-        best = F.min(F.struct("node", "root", "n_shingles")).alias("best")
-        chosen = fresh.groupBy("group", part.alias("part")).agg(best)
-        hub = [F.col("best.node").alias("hub"), F.col("best.root").alias("hub_root"), F.col("best.n_shingles").alias("hub_n")]
-        hubs = written(chosen.select("group", *hub), "hubs")
+        fresh = fresh if done is None else fresh.join(done, ["group", "node", "place"], "left_anti")
+        hub = [F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n_shingles").alias("hub_n"), F.col("place").alias("hub_place")]
+        if hubs_each:
+            part = F.pmod(F.xxhash64("node"), F.lit(hubs_each))
+            chosen = fresh.groupBy("group", part.alias("part")).agg(F.min(F.struct("node", "root", "n_shingles", "place")).alias("best"))
+            fresh = chosen.select("group", "best.*")
+        hubs = written(fresh.select("group", *hub), "hubs")
         if hubs.isEmpty():
             break
         linker.pair(state, hubs)
-        own = hubs.select("group", F.col("hub").alias("node"))
+        own = hubs.select("group", F.col("hub").alias("node"), F.col("hub_place").alias("place"))
         done = own if done is None else done.unionByName(own)
-        turn = min(turn + 1, 12)
     removed(open_, groups, sets)
     return linker.roots if linker.roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 

@@ -380,6 +380,31 @@ def test_near_duplicates_in_chains_and_stars(spark):
     assert len({c for _, c in wanted.values()}) < len(texts) - 40
 
 
+def test_unlike_texts_with_a_common_passage_are_hardly_compared(spark, monkeypatch):
+    rng, linkers = random.Random(31), []
+    init = near_dup.Linker.__init__
+
+    def kept(self, *args):
+        linkers.append(self)
+        init(self, *args)
+
+    monkeypatch.setattr(near_dup.Linker, "__init__", kept)
+    passage = " ".join(f"common{i}" for i in range(60))
+    texts = {i: passage + " " + " ".join(f"own{i}x{k}" for k in range(40)) for i in range(600)}
+    # Two that are alike, and stragglers of a family that a star alone does not reach
+    texts[600] = texts[17].replace("own17x5", "other")
+    base = [f"base{k}" for k in range(100)]
+    for i in range(601, 680):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(100)] = f"edit{i}x{rng.randrange(1000)}"
+        texts[i] = " ".join(words)
+    found = {r.doc_id: r.component_id for r in near_dup.report(frame_of(spark, [texts[i] for i in range(680)])).collect()}
+    assert found == {i: root for i, (_, root) in brute_links(texts).items()} and found[600] == 17
+    # Stars give one pair a bucket and text; what follows doesn't grow with the square of the texts
+    assert linkers[0].tested.count() < 680 * 30
+
+
 def test_densified_signatures_match_like_sets():
     rng = np.random.default_rng(1)
     close = []
