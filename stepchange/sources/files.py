@@ -6,11 +6,14 @@ machine-local folder unless the session is itself local.
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import date
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,28 +41,61 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def file_profile(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Rows, columns and size of every file.
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(place)
 
-    Only file metadata columns are read, so parquet footers answer the count.
-    """
-    profiles = []
+
+def data_files(spark: SparkSession, paths: Iterable[str]) -> list[tuple[str, int]]:
+    """Names and sizes of the parquet files at some paths, folders with all below."""
+    found = []
     for path in paths:
-        data = spark.read.parquet(path)
-        # The width goes into the key: a literal key is folded away
-        profiles.append(
-            data.select(
-                F.col("_metadata.file_name").alias("file"),
-                F.col("_metadata.file_size").alias("bytes"),
-            )
-            .groupBy("file", "bytes")
-            .agg(F.count("*").alias("rows"))
-            .withColumn("columns", F.lit(len(data.columns)))
-        )
-    return stack(profiles).select(
-        "file",
+        system, place = file_system(spark, path)
+        entries = system.listFiles(place, True)
+        while entries.hasNext():
+            entry = entries.next()
+            name = entry.getPath().getName()
+            if not name.startswith(("_", ".")):
+                found.append((entry.getPath().toString(), entry.getLen()))
+    return found
+
+
+def footers(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """Rows, columns, row groups and the largest group's bytes of every file, from footers alone.
+
+    Tasks read a footer a file; no data is read, and the driver has names only.
+    """
+
+    def read(batches):
+        import pyarrow.fs as stores
+        import pyarrow.parquet as parquet
+
+        for batch in batches:
+            rows = []
+            for path, size in zip(batch["path"], batch["bytes"]):
+                uri = path if "://" in path else re.sub("^file:/+", "/", path)
+                store, place = stores.FileSystem.from_uri(uri)
+                meta = parquet.read_metadata(place, filesystem=store)
+                groups = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+                rows.append((path, size, meta.num_rows, meta.num_columns, len(groups), max(groups, default=0)))
+            yield pd.DataFrame(rows, columns=["path", "bytes", "rows", "columns", "row_groups", "largest_group"])
+
+    listed = data_files(spark, paths)
+    names = spark.createDataFrame(listed, "path string, bytes long")
+    tasks = max(1, min(len(listed), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    schema = "path string, bytes long, rows long, columns int, row_groups int, largest_group long"
+    return names.repartition(tasks).mapInPandas(read, schema)
+
+
+def file_profile(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """Rows, columns and size of every file, however many there are: one scan of their footers."""
+    file = F.element_at(F.split("path", "/"), -1)
+    return footers(spark, paths).select(
+        file.alias("file"),
         # The service is the first word of a file's name
-        F.split(F.regexp_replace("file", r"\.parquet$", ""), "_")[0].alias("service"),
+        F.split(F.regexp_replace(file, r"\.parquet$", ""), "_")[0].alias("service"),
         "rows",
         "columns",
         F.round(F.col("bytes") / 1e6, 1).alias("size_mb"),
@@ -96,28 +132,41 @@ def recompact(
     target: str,
     rows_per_file: int = 1_048_576,
     row_group_mb: int = 128,
+    max_group_mb: float = 0,
 ) -> DataFrame:
-    """Rewrite a dataset into files and row groups small enough to split.
+    """A dataset whose files and row groups are small enough to split.
 
-    The rewritten data is checked against the source (rows and schema) before
-    its path is given out; the source is left as it is.
+    Only files with a row group over ``max_group_mb`` (uncompressed; 0 for all
+    files) are rewritten, into a folder under ``target``. They are checked against
+    the source (rows and schema) before a manifest at ``target`` names them beside
+    the files that stay, which keep their place and bytes. The source is left as
+    it is.
     """
-    data = spark.read.parquet(source)
-    (
-        data.write.mode("errorifexists")
-        .option("maxRecordsPerFile", rows_per_file)
-        .option("parquet.block.size", row_group_mb * 1024 * 1024)
-        .option("compression", "zstd")
-        .parquet(target)
-    )
-    written = spark.read.parquet(target)
-    same_schema = [(f.name, f.dataType) for f in written.schema] == [
-        (f.name, f.dataType) for f in data.schema
-    ]
-    if not same_schema:
-        raise ValueError(f"{target}: the rewritten schema doesn't match {source}")
-    reconcile(written, data.count(), target)
-    return written
+    large = F.col("largest_group") > max_group_mb * 1e6
+    sizes = footers(spark, [source]).select("path", "rows", large.alias("large")).collect()
+    todo = [row.path for row in sizes if row.large]
+    kept = [row.path for row in sizes if not row.large]
+    fresh = []
+    if todo:
+        data = spark.read.parquet(*todo)
+        folder = f"{target.rstrip('/')}/data-{uuid.uuid4().hex}"
+        (
+            data.write.mode("errorifexists")
+            .option("maxRecordsPerFile", rows_per_file)
+            .option("parquet.block.size", row_group_mb * 1024 * 1024)
+            .option("compression", "zstd")
+            .parquet(folder)
+        )
+        written = spark.read.parquet(folder)
+        same_schema = [(f.name, f.dataType) for f in written.schema] == [
+            (f.name, f.dataType) for f in data.schema
+        ]
+        if not same_schema:
+            raise ValueError(f"{target}: the rewritten schema doesn't match {source}")
+        reconcile(written, sum(row.rows for row in sizes if row.large), target)
+        fresh = [path for path, _ in data_files(spark, [folder])]
+    _write_manifest(spark, target, [*kept, *fresh])
+    return published(spark, target)
 
 
 def reconcile(data: DataFrame, expected: int, name: str) -> DataFrame:
@@ -128,24 +177,60 @@ def reconcile(data: DataFrame, expected: int, name: str) -> DataFrame:
     return data
 
 
+MANIFEST = "_manifest.json"
+
+
+def _write_manifest(spark: SparkSession, path: str, files: Sequence[str]) -> None:
+    """Name a table's files in its manifest, which is replaced in one step."""
+    system, folder = file_system(spark, path)
+    jvm = spark._jvm
+    whole = jvm.org.apache.hadoop.fs.Path(folder, MANIFEST)
+    part = jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}.part")
+    stream = system.create(part, True)
+    stream.write(bytearray(json.dumps({"files": list(files)}).encode()))
+    stream.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    place = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        whole.toUri(), spark._jsc.hadoopConfiguration()
+    )
+    place.rename(part, whole, options)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that a manifest names, or None without a manifest."""
+    system, folder = file_system(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder, MANIFEST)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return spark.read.parquet(*json.loads(text)["files"])
+
+
+def publish(data: DataFrame, path: str) -> DataFrame:
+    """Write a table beside its earlier version, then let the manifest name it.
+
+    A reader of the earlier version is never cut off, and a writer that is lost
+    half-way leaves the earlier version in place.
+    """
+    spark = data.sparkSession
+    folder = f"{path.rstrip('/')}/data-{uuid.uuid4().hex}"
+    data.write.parquet(folder)
+    _write_manifest(spark, path, [folder])
+    return published(spark, path)
+
+
 def load_or_build(
     spark: SparkSession, path: str, required: Iterable[str], build: Callable[[], DataFrame]
 ) -> DataFrame:
-    """A saved table, or a new one beside it if it is missing or lacks a required column.
-
-    A saved table is left as it is: the rebuilt one is returned from its own
-    folder, ``path`` and a suffix, which the caller may put in the old one's place.
-    """
-    try:
-        saved = spark.read.parquet(path)
-        if set(required) <= set(saved.columns):
-            return saved
-        # A new folder, so a reader of the old table is never cut off half-way
-        fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    except AnalysisException:
-        fresh = path
-    build().write.parquet(fresh)
-    return spark.read.parquet(fresh)
+    """A published table, or a new version if there is none or it lacks a required column."""
+    saved = published(spark, path)
+    if saved is not None and set(required) <= set(saved.columns):
+        return saved
+    return publish(build(), path)
 
 
 def write_csv(data: DataFrame, path: str) -> None:

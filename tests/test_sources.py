@@ -88,6 +88,49 @@ def test_recompact_keeps_rows_and_schema(spark, tmp_path):
     assert written.select("_metadata.file_name").distinct().count() == 4
 
 
+def test_recompact_leaves_files_with_small_row_groups_alone(spark, tmp_path):
+    source, target = tmp_path / "source", tmp_path / "target"
+    wide = [F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 256).alias(f"c{k}") for k in range(20)]
+    spark.range(4000).select("id", *wide).coalesce(1).write.parquet(str(source))
+    spark.range(4000, 4100).select("id", *wide).coalesce(1).write.mode("append").parquet(str(source))
+    before = {p.name: p.read_bytes() for p in source.glob("*.parquet")}
+    large = {r.path.split("/")[-1] for r in files.footers(spark, [str(source)]).where("largest_group > 2e6").collect()}
+    assert len(large) == 1 and len(before) == 2
+    found = files.recompact(spark, str(source), str(target), rows_per_file=1000, max_group_mb=2)
+    assert found.exceptAll(spark.read.parquet(str(source))).count() == 0 and found.count() == 4100
+    names = {r[0] for r in found.select("_metadata.file_name").distinct().collect()}
+    assert names & set(before) == set(before) - large and len(names) == 5
+    assert {p.name: p.read_bytes() for p in source.glob("*.parquet")} == before
+    assert files.footers(spark, found.inputFiles()).where("largest_group > 2e6").count() == 0
+    again = files.recompact(spark, str(source), str(tmp_path / "none"), max_group_mb=1000)
+    assert {r[0] for r in again.select("_metadata.file_name").distinct().collect()} == set(before)
+
+
+def test_many_files_are_profiled_in_one_scan(spark, tmp_path):
+    spark.range(300).repartition(60).write.parquet(str(tmp_path / "many"))
+    profile = files.file_profile(spark, [str(tmp_path / "many")])
+    assert profile.count() == 60 and profile.agg(F.sum("rows")).first()[0] == 300
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Union" not in plan and "FileScan" not in plan
+
+
+def test_a_lost_writer_leaves_the_published_version(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert files.published(spark, path) is None
+    first = files.publish(spark.range(3), path)
+
+    def broken():
+        return spark.range(4).select(F.raise_error(F.lit("lost")).alias("x"))
+
+    with pytest.raises(Exception, match="lost"):
+        files.load_or_build(spark, path, ["x"], broken)
+    assert files.published(spark, path).count() == 3
+    second = files.load_or_build(spark, path, ["id", "x"], lambda: spark.range(5).select("id", F.lit(1).alias("x")))
+    # The new version is found by the next call; a reader of the first one still has it
+    assert second.count() == 5 and first.count() == 3
+    assert files.load_or_build(spark, path, ["x"], broken).count() == 5
+
+
 def test_reconcile_raises_on_a_short_extract(spark):
     files.reconcile(spark.range(5), 5, "extract")
     with pytest.raises(ValueError, match="5 rows, but 6"):
