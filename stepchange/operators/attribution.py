@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepchange.config import StudyConfig
+from stepchange.operators.boosting import PackedTree
 from stepchange.operators.compare import seeded_sample
 from stepchange.operators.forecast import Boosted
 
-_SPLIT = re.compile(r"^If \(feature (\d+) (?:<= (\S+)|in \{(.*)\})\)$")
-
-
 @dataclass(frozen=True)
 class Condition:
     """One split on the way to a leaf, and the side it takes."""
@@ -45,22 +40,24 @@ class Leaf:
     path: tuple[Condition, ...]
 
 
-def tree_leaves(tree: DecisionTreeRegressionModel) -> list[Leaf]:
-    """Leaves of a fitted tree, read from its printed rules."""
-    lines = iter([line.strip() for line in tree.toDebugString.splitlines()[1:] if line.strip()])
+def tree_leaves(tree: PackedTree) -> tuple[list[Leaf], list[int]]:
+    """Leaves of a fitted tree with the splits on their paths, over bins, and their training rows."""
+    leaves, covers = [], []
 
-    def walk(path: tuple[Condition, ...]) -> list[Leaf]:
-        line = next(lines)
-        if line.startswith("Predict:"):
-            return [Leaf(float(line.split()[1]), path)]
-        feature, threshold, listed = _SPLIT.match(line).groups()
-        limit = None if threshold is None else float(threshold)
-        members = frozenset(float(part) for part in (listed or "").split(",") if part)
-        found = walk((*path, Condition(int(feature), limit, members, True)))
-        next(lines)  # the Else line repeats the split
-        return found + walk((*path, Condition(int(feature), limit, members, False)))
+    def walk(number: int, path: tuple[Condition, ...]) -> None:
+        node = tree.nodes[number]
+        if node["feature"] < 0:
+            leaves.append(Leaf(float(node["value"]), path))
+            covers.append(int(node["cover"]))
+            return
+        members = tree.members[number]
+        inside = frozenset(np.flatnonzero(np.frombuffer(members, bool)).tolist()) if members else frozenset()
+        threshold = None if members else float(node["bin"])
+        for side, left in (("left", True), ("right", False)):
+            walk(int(node[side]), (*path, Condition(int(node["feature"]), threshold, inside, left)))
 
-    return walk(())
+    walk(0, ())
+    return leaves, covers
 
 
 def _by_feature(leaf: Leaf) -> dict[int, list[int]]:
@@ -71,38 +68,6 @@ def _by_feature(leaf: Leaf) -> dict[int, list[int]]:
     return grouped
 
 
-def node_covers(train: DataFrame, forest: list[list[Leaf]]) -> list[list[int]]:
-    """Training rows in every leaf of every tree, from one pass over the rows."""
-    shared = train.sparkSession.sparkContext.broadcast(forest)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = [np.zeros(len(leaves), np.int64) for leaves in shared.value]
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.vstack(batch["x"].to_list())
-            for number, leaves in enumerate(shared.value):
-                for index, leaf in enumerate(leaves):
-                    reached = np.ones(len(x), bool)
-                    for condition in leaf.path:
-                        reached &= condition.holds(x)
-                    totals[number][index] += int(reached.sum())
-        for number, counts in enumerate(totals):
-            yield pd.DataFrame({"tree": number, "leaf": range(len(counts)), "n": counts})
-
-    rows = (
-        train.select(vector_to_array("features").alias("x"))
-        .mapInPandas(count, "tree int, leaf int, n long")
-        .groupBy("tree", "leaf")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    )
-    covers = [[0] * len(leaves) for leaves in forest]
-    for row in rows:
-        covers[row.tree][row.leaf] = row.n
-    return covers
-
-
 def _pass_rates(leaves: list[Leaf], covers: list[int]) -> list[list[float]]:
     """For every leaf, the share of training rows each split sends its way."""
 
@@ -161,42 +126,55 @@ def shapley_values(x: np.ndarray, leaves: list[Leaf], rates: list[list[float]])
     return values
 
 
-def _explained(model: Boosted) -> tuple[list, float]:
-    """Leaves and pass rates of every tree, and the mean score."""
-    limit = model.params.max_step
-    forest = [
-        [replace(leaf, value=min(max(leaf.value, -limit), limit)) for leaf in tree_leaves(tree)]
-        for tree in model.trees
-    ]
-    covers = node_covers(model.rows.where("is_train"), forest)
-    rates = [_pass_rates(leaves, counts) for leaves, counts in zip(forest, covers)]
-    base = model.base
-    for leaves, counts in zip(forest, covers):
-        mean = sum(leaf.value * n for leaf, n in zip(leaves, counts)) / max(sum(counts), 1)
-        base += model.params.learning_rate * mean
-    return list(zip(forest, rates)), base
+@dataclass(frozen=True)
+class Explained:
+    """A tree as leaves, pass rates of their paths, and its mean over the training rows."""
+
+    leaves: list[Leaf]
+    rates: list[list[float]]
+    mean: float
+
+    @classmethod
+    def of(cls, tree: PackedTree) -> Explained:
+        leaves, covers = tree_leaves(tree)
+        mean = sum(leaf.value * n for leaf, n in zip(leaves, covers)) / max(sum(covers), 1)
+        return cls(leaves, _pass_rates(leaves, covers), mean)
+
+    def values(self, bins: np.ndarray) -> np.ndarray:
+        """Shapley values of each row. Rows that all splits send the same way have the same ones."""
+        splits = {(c.feature, c.threshold, c.categories): c for leaf in self.leaves for c in leaf.path}
+        ways = np.stack([c.holds(bins) == c.left for c in splits.values()], axis=1) if splits else np.zeros((len(bins), 1), bool)
+        packed = np.packbits(ways, axis=1)
+        kinds = np.ascontiguousarray(packed).view(np.dtype((np.void, packed.shape[1]))).ravel()
+        _, first, back = np.unique(kinds, return_index=True, return_inverse=True)
+        return shapley_values(bins[first], self.leaves, self.rates)[back]
 
 
 def explain(model: Boosted, rows: DataFrame) -> tuple[DataFrame, float]:
-    """Shapley values of scored rows on the log scale, one array a row."""
-    trees, base = _explained(model)
-    shared = rows.sparkSession.sparkContext.broadcast(trees)
-    rate = model.params.learning_rate
+    """Shapley values of scored rows on the log scale, one array a row, and the mean score."""
+    ensemble = model.model
+    trees = [Explained.of(tree) for tree in ensemble.trees]
+    base = ensemble.base + ensemble.learning_rate * sum(tree.mean for tree in trees)
+    shared = rows.sparkSession.sparkContext.broadcast((ensemble.binning, trees))
+    rate, names = ensemble.learning_rate, model.inputs
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        binning, own = shared.value
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.vstack(batch["x"].to_list())
-            total = np.zeros(x.shape)
-            for leaves, rates in shared.value:
-                total += rate * shapley_values(x, leaves, rates)
+            bins = binning.bins(batch)
+            total = np.zeros((len(bins), len(names)))
+            for tree in own:
+                total += rate * tree.values(bins)
             yield pd.DataFrame({"score": batch["score"], "values": list(total)})
 
-    explained = rows.select(vector_to_array("features").alias("x"), "score").mapInPandas(
-        attribute, "score double, values array<double>"
+    inputs = rows.select(
+        *[F.col(n).cast("string").alias(n) for n in ensemble.binning.categories],
+        *[F.col(n).cast("double").alias(n) for n in ensemble.binning.edges],
+        "score",
     )
-    return explained, base
+    return inputs.mapInPandas(attribute, "score double, values array<double>"), base
 
 
 def shap_importance(

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stepchange.config import StudyConfig
 from stepchange.functions import columns as C
+from stepchange.operators.boosting import BoostParams, Ensemble, boost_trees
 from stepchange.operators.compare import flag_busiest
+from stepchange.sources.files import shared_folder
 
 TARGETS = ("trips", "total_earnings")
 YEAR_OF_WEEKS = 364
@@ -27,13 +27,12 @@ TWEEDIE_POWER = 1.5
 
 def seasonal_naive(cube: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Every row with the same cell's values 52 weeks earlier (null if none)."""
-    keys = [*cfg.cell, "date"]
-    earlier = cube.select(
-        *cfg.cell,
-        F.date_add("date", YEAR_OF_WEEKS).alias("date"),
-        *[F.col(target).alias(f"naive_{target}") for target in TARGETS],
+    # One row a cell and date: a cell's rows are the days of the study
+    days = F.unix_date("date")
+    earlier = W.partitionBy(*cfg.cell).orderBy(days).rangeBetween(-YEAR_OF_WEEKS, -YEAR_OF_WEEKS)
+    return cube.select(
+        "*", *[F.first(target).over(earlier).alias(f"naive_{target}") for target in TARGETS]
     )
-    return cube.join(earlier, keys, "left")
 
 
 def usual_level(train: DataFrame, targets: Mapping[str, str], cfg: StudyConfig) -> DataFrame:
@@ -72,135 +71,67 @@ def features(table: DataFrame, train: Column, target: str, cfg: StudyConfig) ->
 # Boosted trees --------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class BoostParams:
-    """Boosting settings; the defaults stand in for 300 trees of 63 leaves."""
-
-    rounds: int = 300
-    learning_rate: float = 0.1
-    depth: int = 6
-    min_rows: int = 20
-    # A leaf moves the score, a logarithm, by at most so much before the learning rate
-    max_step: float = 0.7
-    # Split points of an input, and the least for its categories
-    bins: int = 255
-    seed: int = 0
-    checkpoint_every: int = 10
-
-
 @dataclass
 class Boosted:
-    """Scored rows, the fitted trees and what turns them into a score."""
+    """Scored rows, and the fitted trees that scored them."""
 
     rows: DataFrame
-    base: float
     params: BoostParams
-    inputs: list[str]
-    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
+    model: Ensemble
+
+    @property
+    def inputs(self) -> list[str]:
+        return list(self.model.binning.names)
+
+    @property
+    def base(self) -> float:
+        return self.model.base
 
     def release(self) -> None:
-        self.rows.unpersist()
+        """Scored rows are a stored table: nothing is held in memory."""
 
 
-def _encode(inputs: DataFrame, cfg: StudyConfig) -> tuple[DataFrame, list[str], int]:
-    """Vectors with nominal attributes for the categorical inputs."""
-    categorical = [*cfg.cell, "day_of_week", "month"]
-    numeric = ["is_holiday", *cfg.weather, "year", "usual"]
-    indexer = StringIndexer(
-        inputCols=categorical,
-        outputCols=[f"{name}_index" for name in categorical],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
-    known = inputs.withColumns({name: F.col(name).cast("string") for name in categorical})
-    model = indexer.fit(known.where("is_train"))
-    assembler = VectorAssembler(
-        inputCols=[f"{name}_index" for name in categorical] + numeric,
-        outputCol="features",
-    )
-    filled = known.fillna(0.0, subset=["usual"])
-    vectors = assembler.transform(model.transform(filled))
-    largest = max(len(labels) for labels in model.labelsArray) + 1
-    kept = inputs.select(*cfg.cell).schema
-    return (
-        vectors.select(
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in kept],
-            "date",
-            "trip_group",
-            "trip_group_coarse",
-            "actual",
-            "is_train",
-            "features",
-        ),
-        categorical + numeric,
-        largest,
-    )
+def _trips_loss(y: np.ndarray, score: np.ndarray):
+    """Gradient, curvature and deviance of each row at a score (log link): counts."""
+    mu = np.exp(score)
+    logs = np.where(y > 0, y * np.log(np.where(y > 0, y, 1) / mu), 0.0)
+    return mu - y, mu, 2 * (logs - (y - mu))
 
 
-def _newton(target: str) -> tuple[Column, Column]:
-    """Gradient step and curvature of the loss at the current score (log link)."""
-    y, mu = F.col("actual"), F.exp("score")
-    if target == "trips":
-        return (y - mu) / mu, mu
-    p = TWEEDIE_POWER
-    gradient = y * F.pow(mu, 1 - p) - F.pow(mu, 2 - p)
-    curvature = (p - 1) * y * F.pow(mu, 1 - p) + (2 - p) * F.pow(mu, 2 - p)
-    return gradient / curvature, curvature
+def _earnings_loss(y: np.ndarray, score: np.ndarray):
+    """The same for money, which is 0 in some cells and continuous in others."""
+    mu, p = np.exp(score), TWEEDIE_POWER
+    low, high = y * mu ** (1 - p), mu ** (2 - p)
+    unit = 2 * (y ** (2 - p) / ((1 - p) * (2 - p)) - low / (1 - p) + high / (2 - p))
+    return high - low, (p - 1) * low + (2 - p) * high, unit
+
+
+LOSSES = {"trips": _trips_loss, "total_earnings": _earnings_loss}
 
 
 def boost(
     inputs: DataFrame, target: str, cfg: StudyConfig, params: BoostParams = BoostParams()
 ) -> Boosted:
-    """Newton boosting: each round fits a weighted tree to the gradient steps.
+    """Newton boosting of the training rows, and the scores of all rows as a stored table.
 
-    A weighted tree's leaf mean of step = gradient / curvature is the Newton step
-    of that leaf. Training and other rows are scored together, round by round, so
-    no separate prediction pass over all trees is needed. Scores are kept between
-    rounds and checkpointed, so a lost executor never replays the whole history.
+    Zone, group, band, weekday and month are categories, the rest are numbers; a
+    missing number or a category without training rows has a bin of its own.
     """
-    vectors, names, categories = _encode(inputs, cfg)
-    base = vectors.where("is_train").agg(F.log(F.avg("actual"))).first()[0]
-    if base is None:
+    folder = shared_folder(inputs.sparkSession)
+    # Read for vocabularies, bins, the deal and the scores
+    inputs.write.parquet(f"{folder}/inputs")
+    inputs = inputs.sparkSession.read.parquet(f"{folder}/inputs")
+    train = inputs.where("is_train")
+    base = train.agg(F.log(F.avg("actual"))).first()[0]
+    if base is None or base == float("-inf"):
         raise ValueError(f"no positive {target} in the training rows")
-    step, curvature = _newton(target)
-    regressor = DecisionTreeRegressor(
-        featuresCol="features",
-        labelCol="step",
-        weightCol="weight",
-        predictionCol="leaf_step",
-        maxDepth=params.depth,
-        maxBins=max(params.bins, categories),
-        minInstancesPerNode=params.min_rows,
-        seed=params.seed,
+    categorical = [*cfg.cell, "day_of_week", "month"]
+    numeric = ["is_holiday", *cfg.weather, "year", "usual"]
+    model = boost_trees(
+        train, categorical, numeric, LOSSES[target], float(base), params, [*cfg.cell, "date"]
     )
-    # Many small files or cells don't matter here: rows are spread once
-    rows = vectors.withColumn("score", F.lit(float(base))).persist(StorageLevel.MEMORY_AND_DISK)
-    result = Boosted(rows, float(base), params, names)
-    loss = _train_loss(rows, target)
-    for number in range(1, params.rounds + 1):
-        train = rows.where("is_train").select(
-            "features", step.alias("step"), curvature.alias("weight")
-        )
-        tree = regressor.fit(train)
-        result.trees.append(tree)
-        limit = F.lit(params.max_step)
-        bounded = F.least(F.greatest(F.col("leaf_step"), -limit), limit)
-        scored = (
-            tree.transform(rows)
-            .withColumn("score", F.col("score") + params.learning_rate * bounded)
-            .drop("leaf_step")
-        )
-        if number % params.checkpoint_every == 0:
-            scored = scored.checkpoint()
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-        now = _train_loss(scored, target)
-        rows.unpersist()
-        rows = scored
-        if not now <= loss + 1e-9 * (1 + abs(loss)):
-            raise ValueError(f"round {number} raised the training deviance from {loss} to {now}")
-        loss = now
-    result.rows = rows
-    return result
+    model.score(inputs).write.parquet(f"{folder}/scored")
+    return Boosted(inputs.sparkSession.read.parquet(f"{folder}/scored"), params, model)
 
 
 def deviance(rows: DataFrame, target: str) -> DataFrame:
@@ -219,12 +150,6 @@ def deviance(rows: DataFrame, target: str) -> DataFrame:
     return rows.groupBy("is_train").agg(F.avg(unit).alias("deviance"))
 
 
-def _train_loss(rows: DataFrame, target: str) -> float:
-    """Mean deviance of the training rows. Reads all rows, so a persisted frame is filled."""
-    found = {row.is_train: row.deviance for row in deviance(rows, target).collect()}
-    return found.get(True, 0.0)
-
-
 def _predictions(model: Boosted, test: Column, cfg: StudyConfig) -> DataFrame:
     return model.rows.where(test).select(
         *cfg.cell,
@@ -301,24 +226,30 @@ def baseline_scores(cube: DataFrame, cfg: StudyConfig) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def validate(table: DataFrame, cfg: StudyConfig, params: BoostParams = BoostParams()) -> DataFrame:
-    """Accuracy of the model and of the baseline, by target."""
+def validation(
+    table: DataFrame, rows: Mapping[str, DataFrame], cfg: StudyConfig
+) -> DataFrame:
+    """Accuracy of forecasts of the second year and of the baseline, by target."""
     parts = [baseline_scores(table, cfg)]
-    for target in TARGETS:
-        model, rows = year_split(table, target, cfg, params)
-        scores = accuracy(rows).select(
-            F.lit(target).alias("target"),
-            F.lit("model").alias("forecast"),
-            "mae",
-            "rmse",
-            "wmape_pct",
+    for target, found in rows.items():
+        parts.append(
+            accuracy(found).select(
+                F.lit(target).alias("target"),
+                F.lit("model").alias("forecast"),
+                "mae",
+                "rmse",
+                "wmape_pct",
+            )
         )
-        # One row: kept as data so the model's rows can be released
-        parts.append(table.sparkSession.createDataFrame(scores.collect(), scores.schema))
-        model.release()
     return reduce(DataFrame.unionByName, parts)
 
 
+def validate(table: DataFrame, cfg: StudyConfig, params: BoostParams = BoostParams()) -> DataFrame:
+    """Fit on the first year and score the second, beside the baseline."""
+    rows = {target: year_split(table, target, cfg, params)[1] for target in TARGETS}
+    return validation(table, rows, cfg)
+
+
 # Effects --------------------------------------------------------------------
 
 
@@ -347,18 +278,20 @@ def forecast_effect(
     )
 
 
+def placebo_effects(rows: Mapping[str, DataFrame]) -> DataFrame:
+    """Effects of forecasts in a year without an intervention, by target."""
+    parts = []
+    for target, found in rows.items():
+        effect = forecast_effect(found)
+        parts.append(effect.select(F.lit(target).alias("target"), *effect.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def forecast_placebo(
     table: DataFrame, cfg: StudyConfig, params: BoostParams = BoostParams()
 ) -> DataFrame:
     """Forecast effects in a year without an intervention: they should be near 0."""
-    found = []
-    for target in TARGETS:
-        model, rows = year_split(table, target, cfg, params)
-        effect = forecast_effect(rows)
-        small = table.sparkSession.createDataFrame(effect.collect(), effect.schema)
-        found.append(small.select(F.lit(target).alias("target"), *effect.columns))
-        model.release()
-    return found[0].unionByName(found[1])
+    return placebo_effects({target: year_split(table, target, cfg, params)[1] for target in TARGETS})
 
 
 def zone_errors(

@@ -244,12 +244,10 @@ cte(
 # The 52-week baseline as the prediction for a test year
 cte(
     "naive",
-    """select a.PULocationID, a.dropoff_group, a.time_band, a.date, a.trip_group,
-      a.trip_group_coarse, a.trips, a.total_earnings,
-      b.trips as naive_trips, b.total_earnings as naive_total_earnings
-    from cube a left join (select PULocationID, dropoff_group, time_band,
-        date + 364 as date, trips, total_earnings from cube) b
-      on a.PULocationID = b.PULocationID and a.dropoff_group = b.dropoff_group
-      and a.time_band = b.time_band and a.date = b.date""",
+    """select PULocationID, dropoff_group, time_band, date, trip_group, trip_group_coarse, trips,
+      total_earnings, max(trips) over earlier as naive_trips,
+      max(total_earnings) over earlier as naive_total_earnings
+    from cube window earlier as (partition by PULocationID, dropoff_group, time_band order by date
+      range between interval 364 days preceding and interval 364 days preceding)""",
     "cube",
 )
