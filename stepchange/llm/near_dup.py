@@ -10,7 +10,7 @@
    are grouped anew, by each shingle of their prefixes: sets that are similar enough have one of
    their rarest shingles in common, so unlike texts with a common passage don't meet again, and
    enough shingles must come after it in both. Such a group gets hubs from outside its largest
-   component, first one, then some, then all that are left, so no pair that shares a bucket is lost.
+   component, first one, then all that are left, so no pair that shares a bucket is lost.
    What can be lost is a pair that shares no bucket: (1 - 0.75^6)^64, 4 in a million, at 0.75.
 
 Signatures and edges are tables in the shared folder; nothing of a document's size reaches
@@ -33,7 +33,7 @@ BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
 SIMILARITY = 75  # of 100
 #: Hubs that a group of a rare shingle gets in each round; 0: all nodes outside its largest component that weren't one.
-HUBS = (1, 32, 0)
+HUBS = (1, 0)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
