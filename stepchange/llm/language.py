@@ -2,8 +2,9 @@
 
 Word counts by language cover all learning texts; they are summed inside each task
 before the shuffle. Runs of letters over WORD_BYTES, as in scripts without spaces, are
-counted by their n-grams instead, all of them. The model holds the MODEL_WORDS most frequent words and, from the
-whole word list, the most frequent n-grams of each length, so its size is bounded. A
+counted by their n-grams instead, all of them. The model holds the most frequent words of each
+language, MODEL_WORDS together, and, from the whole word list, the most frequent n-grams of
+each length, so its size is bounded. A
 known word scores its log frequency in each language, an unseen one the mean log
 frequency of its longest known n-grams. A long run is scored in pieces of about WORD_BYTES,
 each of which counts as an unseen word.
@@ -17,14 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepchange.llm.common import blocks, byte_table, remainder, row_sums, span_hashes, written
 
 #: Bytes of words: a to z, and all of UTF-8's upper half. Text is put in lower case before.
 LETTERS = byte_table(b for b in range(256) if 97 <= b <= 122 or b >= 128)
-#: Most frequent words, and n-grams of each length, that a model holds; lengths of n-grams.
+#: Words, and n-grams of each length, that a model holds, each language's most frequent ones alike; lengths of n-grams.
 MODEL_WORDS = 100_000
 MODEL_GRAMS = 50_000
 ORDERS = (4, 3, 2, 1)
@@ -139,7 +140,8 @@ def train(documents: DataFrame) -> Model | None:
 
     def table(frame: DataFrame, most: int):
         wide = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-        return frame.groupBy("word").agg(F.sum("n").alias("n"), *wide).orderBy(F.desc("n"), "word").limit(most).toArrow().to_pandas()
+        chosen = F.broadcast(frequent(frame, most // len(langs)))
+        return frame.join(chosen, "word", "left_semi").groupBy("word").agg(*wide).orderBy("word").toArrow().to_pandas()
 
     whole = counts.where("size = 0")
     totals = {r.lang: r.n for r in counts.where("size <= 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -167,6 +169,23 @@ def train(documents: DataFrame) -> Model | None:
     return Model(langs, words, word_scores, grams, floor)
 
 
+def frequent(counts: DataFrame, quota: int) -> DataFrame:
+    """(word): the most frequent words of each language among (word, lang, n), `quota` each at most.
+
+    Words are ranked by their counts within a language, so a large one leaves a small one's words in. Words that tie
+    at the edge stay out; where even the most frequent ones are too many, a part of them stays, by hash.
+    """
+    # A row a count, not a word: few, as most words share a low count
+    levels = counts.groupBy("lang", "n").agg(F.count("*").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    edges = levels.withColumn("upto", upto).groupBy("lang").agg(
+        F.min(F.when(F.col("upto") <= quota, F.col("n"))).alias("edge"), F.max("n").alias("top"), F.max_by("words", "n").alias("tied")
+    )
+    part = F.pmod(F.xxhash64("word"), F.ceil(F.col("tied") / F.lit(max(quota, 1)))) == 0
+    kept = (F.col("n") >= F.col("edge")) | (F.col("edge").isNull() & (F.col("n") == F.col("top")) & part)
+    return counts.join(F.broadcast(edges), "lang").where(kept).select("word").distinct()
+
+
 def looked_up(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places in the sorted keys, -1 if missing."""
     if not len(keys):
