@@ -21,6 +21,8 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 #: Documents that one range of keys holds about.
 RANGE_ROWS = 5_000
+#: Ranges whose sums are added up together.
+PART_RANGES = 1_000
 _DIGITS = 13  # hex digits of a key: 52 bits
 
 
@@ -62,8 +64,10 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def random_key(seed: int = 0) -> Column:
-    """A number from 0 to 2^52 from the document's id."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed))).cast("binary")), 1, _DIGITS), 16, 10).cast("long")
+    """A number from 0 to 2^52 from the document's id and text, so texts of one id are spread like others."""
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    whole = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed)), text)
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, _DIGITS), 16, 10).cast("long")
 
 
 KEYS = ["source", "doc_id", "text_hash", "size"]
@@ -92,8 +96,16 @@ def takes(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     )
     words = F.col("size") * F.col("copies")
     sums = placed.groupBy("of", "range").agg(F.sum(words).alias("words"))
-    so_far = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("of").alias("base_of"), F.col("range").alias("base_range"), F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("base"))
+    # Sums in two levels, so that not even the ranges of one source meet in a task
+    sums = sums.withColumn("part", F.floor(F.col("range") / PART_RANGES))
+    whole = sums.groupBy("of", "part").agg(F.sum("words").alias("words"))
+    parts_before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(F.col("of").alias("part_of"), F.col("part").alias("part_no"), F.coalesce(F.sum("words").over(parts_before), F.lit(0)).alias("part_base"))
+    so_far = Window.partitionBy("of", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    inner = sums.select(F.col("of").alias("base_of"), F.col("range").alias("base_range"), "part", F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("inner"))
+    base = inner.join(whole, F.col("base_of").eqNullSafe(F.col("part_of")) & (F.col("part") == F.col("part_no"))).select(
+        "base_of", "base_range", (F.col("inner") + F.col("part_base")).alias("base")
+    )
     inside = Window.partitionBy("of", "range").orderBy("key", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -119,8 +131,17 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     one = rows.join(parts.where(F.col("copies") == 1), same)
     # Only rows that are several have to be told apart
     several = parts.where(F.col("copies") > 1)
-    nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.lit(0))) - 1
-    alike = rows.join(several.where(F.col("nth") == 0).select(*[f"at_{c}" for c in KEYS]), same, "left_semi").withColumn("row_nth", nth)
+    # They are numbered within the tasks that read them, after all of the tasks before: no task has them all
+    spread = rows.withColumn("salt", F.spark_partition_id())
+    alike = written(spread.join(several.where(F.col("nth") == 0).select(*[f"at_{c}" for c in KEYS]), same, "left_semi"), "alike")
+    counted = alike.groupBy(*KEYS, "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*KEYS).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.select(*[F.col(c).alias(f"salted_{c}") for c in KEYS], F.col("salt").alias("salted"), before.alias("before"))
+    salted = F.col("salt") == F.col("salted")
+    for c in KEYS:
+        salted = salted & F.col(c).eqNullSafe(F.col(f"salted_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*KEYS, "salt").orderBy(F.lit(0))) - 1
+    alike = alike.withColumn("inside", inside).join(counted, salted).withColumn("row_nth", F.col("inside") + F.col("before"))
     found = alike.join(several, same & (F.col("row_nth") == F.col("nth")))
     columns = ["row", "size", "source_size", "target", "taken"]
     return one.select(*columns).unionByName(found.select(*columns))
@@ -153,7 +174,7 @@ def report(documents: DataFrame) -> DataFrame:
 ORACLE_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0'), 1, {_DIGITS}) AS BIGINT) AS key
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0:' || coalesce(md5(text), '')), 1, {_DIGITS}) AS BIGINT) AS key
   FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
