@@ -13,7 +13,6 @@ import re
 import zlib
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +49,10 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 @lru_cache(maxsize=1)
-def _automaton() -> ahocorasick.Automaton:
+def _automaton():
+    # Needed by tasks only: the module, and all other operators, can be imported without it
+    import ahocorasick
+
     found = ahocorasick.Automaton()
     for word, kind in KEYWORDS.items():
         found.add_word(word, (len(word), kind))

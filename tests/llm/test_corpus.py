@@ -313,6 +313,36 @@ def test_language_counts_all_ngrams_of_a_long_run():
     assert not [r for r in rows if r["size"] == 0]
 
 
+def test_a_rare_language_keeps_its_words(spark, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_WORDS", 40)
+    monkeypatch.setattr(language, "MODEL_GRAMS", 40)
+    rng = random.Random(2)
+    many = [(f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}") for i in range(100)]
+    rows = [(i, " ".join(rng.choices(many, range(1, 101), k=60)), "big", None, None) for i in range(200)]
+    rows += [(1000 + i, "zorq zimp zalt", "small", None, None) for i in range(3) if zlib.crc32(str(1000 + i).encode()) % 3 != 1]
+    model = language.train(spark.createDataFrame(rows, SCHEMA))
+    assert set(language.hash_bytes([b"zorq", b"zimp", b"zalt"]).tolist()) <= set(model.words.tolist())
+    assert 20 <= len(model.words) <= 40
+
+
+def test_words_that_all_tie_are_thinned_out(spark):
+    counts = spark.createDataFrame([(f"w{i}", "x", 1) for i in range(3000)] + [("v", "y", 7), ("u", "y", 5)], "word string, lang string, n long")
+    found = {r.word for r in language.frequent(counts, 300).collect()}
+    assert {"u", "v"} < found and 200 < len(found) < 400
+
+
+def test_equal_rows_and_one_id_are_mixed_whole(spark):
+    # One row in a thousand copies, and one id in a thousand texts: each row is in the mix as often as it is taken
+    rows = [(1, "same words here", "en", "a", i) for i in range(1000)] + [(2, f"text {i} of one id", "en", "a", i) for i in range(1000)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    taken = mixing.mix(frame).select("row.doc_id", "row.text", "row.n_chars", "size", "taken").collect()
+    assert len(taken) == 2000 and len({(r.doc_id, r.text, r.n_chars) for r in taken}) == 2000
+    report = mixing.report(frame)
+    assert sorted((r.doc_id, r.taken) for r in taken) == sorted((r.doc_id, r.taken) for r in report.collect())
+    keys = frame.select(mixing.random_key().alias("k")).distinct().count()
+    assert keys == 1001
+
+
 # --- 5 mixing
 
 
