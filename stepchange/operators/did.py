@@ -17,6 +17,7 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from datetime import date
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,9 @@ from stepchange.config import StudyConfig
 from stepchange.functions import columns as C
 
 RING_HALVES = ("ring_adjacent", "ring_across")
-CELLS_PER_TASK = 256
+# Date effects are solved until residuals are so small a part of the right side
+GRADIENT_TOLERANCE = 1e-11
+MAX_GRADIENTS = 300
 
 
 # Panel ----------------------------------------------------------------------
@@ -500,24 +503,36 @@ def _base_terms(fits: Sequence[Fit]) -> list[Term]:
 def drop_singletons(rows: DataFrame, effects: Sequence[Sequence[str]]) -> DataFrame:
     """Drop rows alone in one of their effects until none is left.
 
-    Repeats until the count holds still; a handful of rounds. Rows are
-    checkpointed so the plan stays short and survives a lost executor.
+    Levels are counted once. Each round looks at the levels that rows dropped so
+    far have left alone, and adds their rows to the dropped ones: keys of a few
+    rows, which are checkpointed. The effects' columns together tell rows apart.
     """
-    count = rows.count()
-    while count:
-        counted = rows
-        for number, keys in enumerate(effects):
-            counted = counted.withColumn(f"n{number}", F.count("*").over(W.partitionBy(*keys)))
-        kept = counted
-        for number in range(len(effects)):
-            kept = kept.where(F.col(f"n{number}") > 1)
-        kept = kept.select(*rows.columns).checkpoint()
-        left = kept.count()
-        rows = kept
-        if left == count:
-            break
-        count = left
-    return rows
+    keys = list(dict.fromkeys(column for columns in effects for column in columns))
+    counts = [rows.groupBy(*columns).agg(F.count("*").alias("n")).checkpoint() for columns in effects]
+    gone = None
+    while True:
+        alone = []
+        for columns, count in zip(effects, counts):
+            left = count
+            if gone is not None:
+                lost = gone.groupBy(*columns).agg(F.count("*").alias("lost"))
+                left = count.join(lost, list(columns)).withColumn("n", F.col("n") - F.col("lost"))
+            alone.append(left.where(F.col("n") == 1).select(*columns))
+        hit = reduce(
+            DataFrame.unionByName,
+            [
+                rows.join(single, list(columns), "left_semi").select(*keys)
+                for columns, single in zip(effects, alone)
+            ],
+        ).distinct()
+        if gone is not None:
+            hit = hit.join(gone, keys, "left_anti")
+        elif all(single.isEmpty() for single in alone):
+            return rows
+        hit = hit.checkpoint()
+        if hit.isEmpty():
+            return rows.join(gone, keys, "left_anti")
+        gone = hit if gone is None else gone.unionByName(hit).checkpoint()
 
 
 def fit_pay(panel: DataFrame, fits: Sequence[Fit], cfg: StudyConfig) -> list[tuple]:
@@ -639,72 +654,84 @@ def _cell_values(row, designs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _date_effects(cells, designs, sizes, days, cfg) -> dict[tuple[int, str], np.ndarray]:
     """Date effects of every column, by row set and band, with cell effects out.
 
-    Tasks add the date x date systems of their cells up; the sums are reduced by
-    row on Spark and only calendar-sized systems come to the driver.
+    The normal equations are never formed: conjugate gradients need only their
+    products with a table of days x columns, which tasks add up over their cells.
+    So what comes to the driver grows with days x columns. Effects are known up to
+    a constant, which residuals from a cell's mean don't show.
     """
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        systems: dict[tuple, list[np.ndarray]] = {}
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                t, w, values = _cell_values(row, designs.value)
-                key = (row.rows_of, row.time_band)
-                if key not in systems:
-                    width = values.shape[1]
-                    systems[key] = [np.zeros((days, days)), np.zeros((days, width))]
-                left, right = systems[key]
-                left[np.ix_(t, t)] -= np.outer(w, w) / w.sum()
-                left[t, t] += w
-                right[t] += w[:, None] * (values - w @ values / w.sum())
-        for (number, band), (left, right) in systems.items():
-            active = np.flatnonzero(np.abs(left).sum(axis=1) > 0)
-            yield pd.DataFrame(
-                {
-                    "rows_of": number,
-                    "time_band": band,
-                    "t": active,
-                    "system": list(np.hstack([left[active], right[active]])),
-                }
-            )
-
-    def add_up(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[:1].copy()
-        first.at[first.index[0], "system"] = np.sum(np.vstack(frame["system"].to_list()), axis=0)
-        return first
-
-    per_band = max(row.cells for row in sizes.values())
-    salts = max(1, math.ceil(per_band / CELLS_PER_TASK))
-    schema = "rows_of int, time_band string, t int, system array<double>"
-    spread = cells.repartition(
-        len(sizes) * salts,
-        "rows_of",
-        "time_band",
-        F.pmod(F.xxhash64(cfg.origin, "dropoff_group"), F.lit(salts)),
-    )
-    rows = (
-        spread.select("rows_of", "time_band", "trip_group", "t", "w", "y")
-        .mapInPandas(partial, schema)
-        .groupBy("rows_of", "time_band", "t")
-        .applyInPandas(add_up, schema)
-        .toPandas()
-    )
-    effects = {}
-    for (number, band), part in rows.groupby(["rows_of", "time_band"]):
-        t = part["t"].to_numpy()
-        system = np.vstack(part["system"].to_list())
-        left, right = system[:, :days][:, t], system[:, days:]
-        # Effects are known up to a constant: pin their sum
-        pinned = left + np.trace(left) / len(t) ** 2
-        try:
-            solution = np.linalg.solve(pinned, right)
-            if not np.allclose(left @ solution, right, atol=1e-6 * (1 + np.abs(right).max())):
-                raise np.linalg.LinAlgError
-        except np.linalg.LinAlgError:
-            solution = np.linalg.lstsq(left, right, rcond=None)[0]
-        table = np.zeros((days, right.shape[1]))
-        table[t] = solution
-        effects[(int(number), band)] = table
-    return effects
+    keys = sorted(sizes)
+    width = 1 + max(max(x.shape[1] for x in design.values()) for design in designs.value)
+    schema = "rows_of int, time_band string, t int, v array<double>"
+
+    def summed(cell_rows, columns: int) -> np.ndarray:
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    t, values = cell_rows(row)
+                    key = (row.rows_of, row.time_band)
+                    if key not in sums:
+                        sums[key] = np.zeros((days, columns))
+                    sums[key][t, : values.shape[1]] += values
+            for (number, band), total in sums.items():
+                active = np.flatnonzero(np.abs(total).sum(axis=1) > 0)
+                yield pd.DataFrame(
+                    {"rows_of": number, "time_band": band, "t": active, "v": list(total[active])}
+                )
+
+        parts = cells.select("rows_of", "time_band", "trip_group", "t", "w", "y").mapInPandas(
+            partial, schema
+        )
+        totals = parts.groupBy("rows_of", "time_band", "t").agg(
+            F.array(*[F.sum(F.col("v")[i]) for i in range(columns)]).alias("v")
+        )
+        out = np.zeros((len(keys), days, columns))
+        place = {key: i for i, key in enumerate(keys)}
+        for row in totals.toArrow().to_pylist():
+            out[place[row["rows_of"], row["time_band"]], row["t"]] = row["v"]
+        return out
+
+    def right_side(row):
+        t, w, values = _cell_values(row, designs.value)
+        # The last column is the diagonal, by which the system is scaled
+        own = np.column_stack([w[:, None] * (values - w @ values / w.sum()), w - w * w / w.sum()])
+        out = np.zeros((len(t), width + 1))
+        out[:, : own.shape[1] - 1], out[:, -1] = own[:, :-1], own[:, -1]
+        return t, out
+
+    first = summed(right_side, width + 1)
+    right, diagonal = first[:, :, :-1], first[:, :, -1:]
+    scaled = np.divide(1.0, diagonal, out=np.zeros_like(diagonal), where=diagonal > 0)
+    spark = cells.sparkSession
+    effects, left = np.zeros_like(right), right.copy()
+    direction = scaled * left
+    size = (left * direction).sum(axis=1, keepdims=True)
+    goal = GRADIENT_TOLERANCE * np.abs(right).max(axis=1, keepdims=True)
+    for _ in range(MAX_GRADIENTS):
+        if (np.abs(left).max(axis=1, keepdims=True) <= goal).all():
+            break
+        held = spark.sparkContext.broadcast({key: direction[i] for i, key in enumerate(keys)})
+
+        def product(row, held=held):
+            t, w = np.asarray(row.t), np.asarray(row.w)
+            own = held.value[row.rows_of, row.time_band][t]
+            return t, w[:, None] * (own - w @ own / w.sum())
+
+        moved = summed(product, width)
+        held.unpersist()
+        along = (direction * moved).sum(axis=1, keepdims=True)
+        step = np.divide(size, along, out=np.zeros_like(size), where=along > 0)
+        effects += step * direction
+        left -= step * moved
+        after = (left * scaled * left).sum(axis=1, keepdims=True)
+        direction = scaled * left + direction * np.divide(
+            after, size, out=np.zeros_like(size), where=size > 0
+        )
+        size = after
+    else:
+        raise ValueError(f"date effects don't settle in {MAX_GRADIENTS} steps")
+    own = {number: 1 + next(iter(design.values())).shape[1] for number, design in enumerate(designs.value)}
+    return {key: effects[i, :, : own[key[0]]] for i, key in enumerate(keys)}
 
 
 def _zone_grams(cells, designs, effects, days, cfg) -> DataFrame:

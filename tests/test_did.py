@@ -171,12 +171,12 @@ def test_row_choices_and_band_terms(spark, frame):
         assert [r[3] for r in found if r[1] == "bands"] == ["day", "night"]
 
 
-def test_pay_does_not_depend_on_how_cells_are_spread(spark, frame, monkeypatch):
+def test_pay_does_not_depend_on_how_cells_are_spread(spark, frame):
     files.use_checkpoints(spark)
     panel = spark_panel(spark, frame)
     whole = did.fit_pay(panel, [FIT], CFG)
-    monkeypatch.setattr(did, "CELLS_PER_TASK", 2)
-    assert [r[4:7] for r in did.fit_pay(panel, [FIT], CFG)] == [pytest.approx(r[4:7], rel=1e-8) for r in whole]
+    spread = panel.repartition(7, "date")
+    assert [r[4:7] for r in did.fit_pay(spread, [FIT], CFG)] == [pytest.approx(r[4:7], rel=1e-8) for r in whole]
 
 
 def test_unbalanced_panel_is_refused(spark, frame):
