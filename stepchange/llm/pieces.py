@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from sentencepiece import SentencePieceProcessor
 
 from stepchange.llm.common import blocks
 
@@ -162,7 +161,7 @@ class Model:
         apart = not any(MARK in p.lstrip(MARK) for p, k in zip(pieces, kinds) if k in (NORMAL, USER_DEFINED, UNUSED))
         self.segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if apart else ".+", re.S)
         #: The same pieces for texts that are normalised already
-        self.joiner = SentencePieceProcessor(model_proto=b"".join(field(n, v) for n, v in fields(blob) if n != 3) + field(3, PLAIN))
+        self.joiner = processor_of(b"".join(field(n, v) for n, v in fields(blob) if n != 3) + field(3, PLAIN))
         self._known: dict[str, bytes] = {}
 
     # --- normalisation
@@ -287,8 +286,11 @@ def model_of(blob: bytes) -> Model:
     return Model(blob)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def processor_of(blob: bytes):
+    # Needed by tasks only: the module, and all other operators, can be imported without it
+    from sentencepiece import SentencePieceProcessor
+
     return SentencePieceProcessor(model_proto=blob)
 
 
