@@ -125,25 +125,27 @@ class PackedTree:
     nodes: np.ndarray
     members: tuple[bytes, ...]
 
-    def goes_left(self, node: int, bins: np.ndarray) -> np.ndarray:
-        own = self.nodes[node]
-        column = bins[:, own["feature"]]
-        if self.members[node]:
-            return np.frombuffer(self.members[node], bool)[column]
-        return column <= own["bin"]
-
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         out = np.zeros(len(bins), np.int32)
-        waiting = [(0, np.arange(len(bins)))]
+        waiting = [(0, None)]
+        nodes = self.nodes.tolist()
         while waiting:
             node, rows = waiting.pop()
-            if self.nodes[node]["feature"] < 0 or not len(rows):
-                out[rows] = node
+            feature, bin_, left, right, _, _ = nodes[node]
+            if feature < 0:
+                if rows is None:
+                    out[:] = node
+                else:
+                    out[rows] = node
                 continue
-            left = self.goes_left(node, bins[rows])
-            waiting.append((int(self.nodes[node]["left"]), rows[left]))
-            waiting.append((int(self.nodes[node]["right"]), rows[~left]))
+            column = bins[:, feature] if rows is None else bins[:, feature][rows]
+            members = self.members[node]
+            goes = np.frombuffer(members, bool)[column] if members else column <= bin_
+            for child, chosen in ((left, goes), (right, ~goes)):
+                own = np.flatnonzero(chosen) if rows is None else rows[chosen]
+                if len(own):
+                    waiting.append((child, own))
         return out
 
     def values(self, bins: np.ndarray) -> np.ndarray:
@@ -190,11 +192,14 @@ def _node_sums(
 
 def _sums(bins, g, h, node, nodes: int, offsets: np.ndarray, width: int) -> np.ndarray:
     """Gradients, curvatures and rows by node, input and bin; inputs stand one after the other."""
-    at = ((node * width)[:, None] + offsets + bins).ravel()
-    k = len(offsets)
-    out = [np.bincount(at, np.repeat(x, k), nodes * width) for x in (g, h)]
-    out.append(np.bincount(at, minlength=nodes * width))
-    return np.stack(out).reshape(3, nodes, width).swapaxes(0, 1).astype(float)
+    out = np.zeros((3, nodes * width))
+    first = node * width
+    for feature, offset in enumerate(offsets):
+        at = first + (bins[:, feature] + offset)
+        out[0] += np.bincount(at, g, nodes * width)
+        out[1] += np.bincount(at, h, nodes * width)
+        out[2] += np.bincount(at, minlength=nodes * width)
+    return out.reshape(3, nodes, width).swapaxes(0, 1)
 
 
 class Grower:
@@ -206,38 +211,46 @@ class Grower:
         self.sizes = binning.sizes
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.width = int(self.sizes.sum())
-        # Inputs side by side, filled up to the same number of bins with empty ones
-        self.most = int(self.sizes.max())
-        self.padded = np.full((len(self.sizes), self.most), self.width)
-        for i, size in enumerate(self.sizes):
-            self.padded[i, :size] = self.offsets[i] + np.arange(size)
+        # Categories and numbers apart, each side by side and filled up with empty bins
+        self.groups = []
+        for ordered in (False, True):
+            features = np.flatnonzero(self.category != ordered)
+            most = int(self.sizes[features].max(initial=0))
+            padded = np.full((len(features), most), self.width)
+            for i, feature in enumerate(features):
+                padded[i, : self.sizes[feature]] = self.offsets[feature] + np.arange(self.sizes[feature])
+            if len(features):
+                self.groups.append((ordered, features, padded))
 
     def best(self, sums: np.ndarray) -> list[tuple]:
         """For each node's sums the split of the greatest gain: (gain, feature, bin, members, rows of the left side)."""
-        square = np.pad(sums, ((0, 0), (0, 0), (0, 1)))[:, :, self.padded]
-        g, h, n = (square[:, i] for i in range(3))
-        # Categories by their step, empty bins last; numbers as they are
-        step = np.where(n > 0, -g / np.maximum(h, 1e-300), np.inf)
-        order = np.where(
-            self.category[None, :, None], np.argsort(step, axis=2, kind="stable"), np.arange(self.most)
-        )
-        g, h, n = (np.cumsum(np.take_along_axis(x, order, 2), axis=2) for x in (g, h, n))
-        whole = [x[:, :, -1:] for x in (g, h, n)]
+        filled = np.pad(sums, ((0, 0), (0, 0), (0, 1)))
         least = self.params.min_rows
-        right = [w - x for w, x in zip(whole, (g, h, n))]
-        fits = (n >= least) & (right[2] >= least) & (h > 0) & (right[1] > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = g**2 / h + right[0] ** 2 / right[1] - whole[0] ** 2 / whole[1]
-        gain = np.where(fits, gain, 0.0)
-        found = []
-        for node in range(len(sums)):
-            feature, place = divmod(int(gain[node].argmax()), self.most)
-            members = b""
-            if self.category[feature]:
-                inside = np.zeros(self.most, bool)
-                inside[order[node, feature, : place + 1]] = True
-                members = inside.tobytes()
-            found.append((float(gain[node, feature, place]), feature, place, members, n[node, feature, place]))
+        found = [(0.0, 0, 0, b"", 0.0)] * len(sums)
+        for ordered, features, padded in self.groups:
+            square = filled[:, :, padded]
+            if not ordered:
+                # Categories by their step, empty bins last
+                step = np.where(square[:, 2] > 0, -square[:, 0] / np.maximum(square[:, 1], 1e-300), np.inf)
+                order = np.argsort(step, axis=2, kind="stable")
+                square = np.take_along_axis(square, order[:, None], 3)
+            g, h, n = np.cumsum(square, axis=3).swapaxes(0, 1)
+            whole = [x[:, :, -1:] for x in (g, h, n)]
+            right = [w - x for w, x in zip(whole, (g, h, n))]
+            fits = (n >= least) & (right[2] >= least) & (h > 0) & (right[1] > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = g * g / h + right[0] * right[0] / right[1] - whole[0] * whole[0] / whole[1]
+            gain = np.where(fits, gain, 0.0).reshape(len(sums), -1)
+            for node, at in enumerate(gain.argmax(axis=1).tolist()):
+                if gain[node, at] <= found[node][0]:
+                    continue
+                i, place = divmod(at, padded.shape[1])
+                members = b""
+                if not ordered:
+                    inside = np.zeros(int(self.sizes.max()), bool)
+                    inside[order[node, i, : place + 1]] = True
+                    members = inside.tobytes()
+                found[node] = (float(gain[node, at]), int(features[i]), place, members, n[node, i, place])
         return found
 
     def value(self, sums: np.ndarray) -> tuple[float, int]:
@@ -403,7 +416,8 @@ def boost_trees(
         if frames:
             data = pd.concat(frames)
             actual = data["actual"].to_numpy(float)
-            block = Block(binning.bins(data), actual, np.full(len(actual), base))
+            # By column, as trees read them
+            block = Block(np.asfortranarray(binning.bins(data)), actual, np.full(len(actual), base))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
 
     first = dealt.mapInArrow(packed, "block binary").rdd.map(lambda row: pickle.loads(row.block)).persist(KEPT)
