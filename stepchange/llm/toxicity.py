@@ -150,7 +150,8 @@ def _fitted(sample: DataFrame, params: FtrlParams) -> tuple[np.ndarray, float]:
         parts = sharded.groupBy("shard").applyInArrow(_epoch(params, state, positive), "at long, z double, n double")
         # A shard that never met a coordinate has no say in it
         mean = parts.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
-        state.unpersist()
+        # Its blocks leave the driver, too
+        state.destroy()
         at, new_z, new_n = (mean[c].to_numpy() for c in ("at", "z", "n"))
         inner = at >= 0
         z[at[inner]], n[at[inner]] = new_z[inner], new_n[inner]
