@@ -6,6 +6,8 @@ themselves: the last vertex joins the first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,8 +15,10 @@ from pyspark.sql import Window as W
 from stepchange.config import StudyConfig
 
 SQUARE_FEET_PER_SQUARE_MILE = 27_878_400
-# Levels of the seed tile tree. Level k has at most 4**k tiles
+# Levels of tiles that are broadcast. Level k has at most 4**k tiles
 TILE_LEVELS = 6
+# Levels of the seed tile tree at most
+MAX_LEVELS = 15
 
 
 def zone_segments(vertices: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def zone_boxes(vertices: DataFrame) -> DataFrame:
 
 def group_box(vertices: DataFrame, zones: DataFrame, pad_x: float, pad_y: float) -> DataFrame:
     """Padded bounding box of a set of zones: one row."""
-    inside = vertices.join(zones.select("zone_id").distinct(), "zone_id", "left_semi")
+    inside = vertices.join(zones.select("zone_id").distinct().hint("merge"), "zone_id", "left_semi")
     return inside.agg(
         (F.min("x") - pad_x).alias("min_x"),
         (F.min("y") - pad_y).alias("min_y"),
@@ -113,122 +117,138 @@ def segment_distance(a: tuple, b: tuple) -> Column:
     return F.when(crossing, 0.0).otherwise(nearest)
 
 
-def _box_bounds(a: tuple, b: tuple) -> tuple[Column, Column]:
-    """Least and greatest distance of points in two boxes (x1, y1, x2, y2)."""
-    ax1, ay1, ax2, ay2 = a
-    bx1, by1, bx2, by2 = b
-    zero = F.lit(0.0)
-    low = F.hypot(
-        F.greatest(bx1 - ax2, ax1 - bx2, zero), F.greatest(by1 - ay2, ay1 - by2, zero)
-    )
-    high = F.hypot(
-        F.greatest(bx2 - ax1, ax2 - bx1), F.greatest(by2 - ay1, ay2 - by1)
-    )
-    return low, high
-
-
-def _extent(vertices: DataFrame) -> tuple[float, float, float]:
-    """Corner and side of the square that holds every vertex (one row)."""
-    row = vertices.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+def _extent(vertices: DataFrame) -> tuple[float, float, float, int]:
+    """Corner and side of the square that holds every vertex, and their number (one row)."""
+    row = vertices.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")).first()
     if row[0] is None:
-        return 0.0, 0.0, 1.0
+        return 0.0, 0.0, 1.0, 0
     side = max(row[2] - row[0], row[3] - row[1])
-    return row[0], row[1], (side or 1.0) * (1 + 1e-9)
+    return row[0], row[1], (side or 1.0) * (1 + 1e-9), row[4]
 
 
 def _tile(value: Column, low: float, side: float, level: int) -> Column:
     return F.floor((value - low) / (side / 2**level)).cast("int")
 
 
-BOX = ("bx1", "by1", "bx2", "by2")
-ZONE_BOX = ("zx1", "zy1", "zx2", "zy2")
+# The vertices farthest west, east, south and north: their box is tight, and each is on the shape
+ENDS = ("w", "e", "s", "n")
+PLACES = tuple(f"{end}{axis}" for end in ENDS for axis in "xy")
+
+
+def _extremes(points: DataFrame, keys: tuple[str, ...], prefix: str) -> DataFrame:
+    """Of each key the points at the ends, as columns ``<prefix>wx`` to ``<prefix>ny``."""
+    across, up = F.struct("x", "y"), F.struct("y", (-F.col("x")).alias("x"))
+    ends = points.groupBy(*keys).agg(
+        F.min(across).alias("w"), F.max(across).alias("e"), F.min(up).alias("s"), F.max(up).alias("n")
+    )
+    sign = {"w": 1, "e": 1, "s": -1, "n": -1}
+    places = [
+        (F.col(f"{end}.{axis}") * (sign[end] if axis == "x" else 1)).alias(f"{prefix}{end}{axis}")
+        for end in ENDS
+        for axis in "xy"
+    ]
+    return ends.select(*keys, *places)
+
+
+def _ends(prefix: str) -> list[tuple[Column, Column]]:
+    return [(F.col(f"{prefix}{end}x"), F.col(f"{prefix}{end}y")) for end in ENDS]
 
 
-def _columns(names: tuple[str, ...]) -> tuple[Column, ...]:
-    return tuple(F.col(name) for name in names)
+def _box(prefix: str) -> tuple[Column, ...]:
+    return tuple(F.col(prefix + place) for place in ("wx", "sy", "ex", "ny"))
 
 
-def _seed_segments(segments: DataFrame, seeds: DataFrame, extent: tuple) -> DataFrame:
-    """Seed edges with their boxes, each in the one leaf tile of its midpoint."""
-    x0, y0, side = extent
-    return segments.join(seeds.select("zone_id"), "zone_id", "left_semi").select(
+def _bounds(ends: list[tuple], box: tuple) -> tuple[Column, Column]:
+    """Bounds of the distance of a zone to edges with these ends in this box.
+
+    It isn't less than the distance of the boxes, nor more than that of any two ends.
+    """
+    ax1, ay1, ax2, ay2 = _box("z")
+    bx1, by1, bx2, by2 = box
+    zero = F.lit(0.0)
+    low = F.hypot(F.greatest(bx1 - ax2, ax1 - bx2, zero), F.greatest(by1 - ay2, ay1 - by2, zero))
+    high = F.least(*[F.hypot(zx - x, zy - y) for zx, zy in _ends("z") for x, y in ends])
+    return low, high
+
+
+def _seed_edges(seed_vertices: DataFrame, extent: tuple, level: int) -> DataFrame:
+    """Seed edges, each in the one leaf tile of its midpoint."""
+    x0, y0, side, _ = extent
+    return zone_segments(seed_vertices).select(
         F.col("x1").alias("sx1"),
         F.col("y1").alias("sy1"),
         F.col("x2").alias("sx2"),
         F.col("y2").alias("sy2"),
-        F.least("x1", "x2").alias("bx1"),
-        F.least("y1", "y2").alias("by1"),
-        F.greatest("x1", "x2").alias("bx2"),
-        F.greatest("y1", "y2").alias("by2"),
-        _tile((F.col("x1") + F.col("x2")) / 2, x0, side, TILE_LEVELS).alias("tx"),
-        _tile((F.col("y1") + F.col("y2")) / 2, y0, side, TILE_LEVELS).alias("ty"),
+        _tile((F.col("x1") + F.col("x2")) / 2, x0, side, level).alias("tx"),
+        _tile((F.col("y1") + F.col("y2")) / 2, y0, side, level).alias("ty"),
     )
 
 
-def _tile_tree(leaves: DataFrame, level: int) -> DataFrame:
-    """Seed tiles of one level with the tight box of their edges."""
-    steps = TILE_LEVELS - level
-    return leaves.groupBy(
-        F.shiftright("tx", steps).alias("tx"), F.shiftright("ty", steps).alias("ty")
-    ).agg(
-        F.min("bx1").alias("bx1"),
-        F.min("by1").alias("by1"),
-        F.max("bx2").alias("bx2"),
-        F.max("by2").alias("by2"),
+def _tile_tree(points: DataFrame, steps: int) -> DataFrame:
+    """Seed tiles some steps above the leaves with the ends of their edges."""
+    above = points.select(
+        F.shiftright("tx", steps).alias("tx"), F.shiftright("ty", steps).alias("ty"), "x", "y"
     )
+    return _extremes(above, ("tx", "ty"), "t")
 
 
-def _prune(candidates: DataFrame) -> DataFrame:
+def _prune(candidates: DataFrame, bounds: tuple[Column, Column]) -> DataFrame:
     """Keep candidates that may hold a zone's nearest seed edge."""
-    low, high = _box_bounds(_columns(ZONE_BOX), _columns(BOX))
+    low, high = bounds
     return (
         candidates.withColumn("low", low)
         .withColumn("best", F.min(high).over(W.partitionBy("zone_id")))
-        .where(F.col("low") <= F.col("best"))
+        # The two are rounded apart
+        .where(F.col("low") <= F.col("best") * (1 + 1e-9))
         .drop("low", "best")
     )
 
 
-def boundary_distance(vertices: DataFrame, seeds: DataFrame) -> DataFrame:
+def boundary_distance(vertices: DataFrame, seeds: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Least distance from each zone's edges to any seed edge, exactly.
 
-    Seed edges sit in a tree of tiles. Every zone walks down the tree and, at each
-    level, drops tiles whose nearest point is farther than another tile's
-    farthest point, so no zone is paired with every seed. A level has at most
-    4**k tiles, which bounds what is broadcast; zones are shuffled once.
+    Seed edges sit in a tree of tiles, as deep as leaves take to hold a few edges.
+    Every zone walks down the tree and, at each level, drops tiles whose nearest
+    point is farther than some edge's end in another tile, so no zone is paired
+    with every seed. Levels of up to 4**TILE_LEVELS tiles are broadcast; whatever
+    grows with the zones or seeds is shuffled. Zones in ``known`` are left out.
     """
-    extent = _extent(vertices)
-    segments = zone_segments(vertices)
-    leaves = _seed_segments(segments, seeds, extent)
-    tiles = leaves.groupBy("tx", "ty").agg(
-        F.min("bx1").alias("bx1"),
-        F.min("by1").alias("by1"),
-        F.max("bx2").alias("bx2"),
-        F.max("by2").alias("by2"),
-    )
-    frontier = zone_boxes(vertices).withColumns({"tx": F.lit(0), "ty": F.lit(0)})
+    seed_vertices = vertices.join(seeds.select("zone_id"), "zone_id", "left_semi")
+    extent = _extent(seed_vertices)
+    depth = max(1, min(MAX_LEVELS, math.ceil(math.log(max(extent[3], 4) / 4, 4))))
+    edges = _seed_edges(seed_vertices, extent, depth)
+    ends = F.array(F.struct(F.col("sx1").alias("x"), F.col("sy1").alias("y")), F.struct(F.col("sx2").alias("x"), F.col("sy2").alias("y")))
+    leaves = _extremes(edges.select("tx", "ty", F.explode(ends).alias("p")).select("tx", "ty", "p.*"), ("tx", "ty"), "t")
+    corners = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in _ends("t")])
+    points = leaves.select("tx", "ty", F.explode(corners).alias("p")).select("tx", "ty", "p.*")
+
+    searched = vertices if known is None else vertices.join(known.select("zone_id").hint("merge"), "zone_id", "left_anti")
+    places = [f"z{place}" for place in PLACES]
+    frontier = _extremes(searched, ("zone_id",), "z").withColumns({"tx": F.lit(0), "ty": F.lit(0)})
     halves = F.array(F.lit(0), F.lit(1))
-    for level in range(1, TILE_LEVELS + 1):
+    for level in range(1, depth + 1):
         children = (
-            frontier.select("zone_id", *ZONE_BOX, "tx", "ty", F.explode(halves).alias("right"))
+            frontier.select("zone_id", *places, "tx", "ty", F.explode(halves).alias("right"))
             .select("*", F.explode(halves).alias("upper"))
             .select(
                 "zone_id",
-                *ZONE_BOX,
+                *places,
                 (F.col("tx") * 2 + F.col("right")).alias("tx"),
                 (F.col("ty") * 2 + F.col("upper")).alias("ty"),
             )
         )
-        occupied = F.broadcast(_tile_tree(tiles, level))
-        frontier = _prune(children.join(occupied, ["tx", "ty"]))
-    nearby = _prune(frontier.drop(*BOX).join(leaves, ["tx", "ty"])).select(
+        occupied = _tile_tree(points, depth - level)
+        occupied = F.broadcast(occupied) if level <= TILE_LEVELS else occupied.hint("merge")
+        frontier = _prune(children.join(occupied, ["tx", "ty"]), _bounds(_ends("t"), _box("t")))
+        frontier = frontier.select("zone_id", *places, "tx", "ty")
+    edge = tuple(F.col(name) for name in ("sx1", "sy1", "sx2", "sy2"))
+    box = (F.least("sx1", "sx2"), F.least("sy1", "sy2"), F.greatest("sx1", "sx2"), F.greatest("sy1", "sy2"))
+    nearby = _prune(frontier.join(edges.hint("merge"), ["tx", "ty"]), _bounds([edge[:2], edge[2:]], box)).select(
         "zone_id", "sx1", "sy1", "sx2", "sy2"
     )
-    distance = segment_distance(
-        _columns(("x1", "y1", "x2", "y2")), _columns(("sx1", "sy1", "sx2", "sy2"))
-    )
+    distance = segment_distance(tuple(F.col(name) for name in ("x1", "y1", "x2", "y2")), edge)
     return (
-        nearby.join(segments, "zone_id")
+        nearby.join(zone_segments(searched).hint("merge"), "zone_id")
         .groupBy("zone_id")
         .agg(F.min(distance).alias("distance"))
     )
@@ -240,7 +260,7 @@ def points_inside(points: DataFrame, vertices: DataFrame) -> DataFrame:
     ``points`` has ``point_id, px, py``. Zones are found by the tiles their box
     covers, at most 4**TILE_LEVELS of them.
     """
-    x0, y0, side = _extent(vertices)
+    x0, y0, side, _ = _extent(vertices)
     level = TILE_LEVELS
 
     def tile(column: str, low: float) -> Column:
@@ -258,7 +278,7 @@ def points_inside(points: DataFrame, vertices: DataFrame) -> DataFrame:
         "point_id", "px", "py", tile("px", x0).alias("tx"), tile("py", y0).alias("ty")
     )
     candidates = (
-        located.join(covered, ["tx", "ty"])
+        located.join(covered.hint("merge"), ["tx", "ty"])
         .where(F.col("px").between(F.col("zx1"), F.col("zx2")))
         .where(F.col("py").between(F.col("zy1"), F.col("zy2")))
         .where(F.col("point_id") != F.col("zone_id"))
@@ -269,7 +289,7 @@ def points_inside(points: DataFrame, vertices: DataFrame) -> DataFrame:
         (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1")
     )
     return (
-        candidates.join(zone_segments(vertices), "zone_id")
+        candidates.join(zone_segments(vertices).hint("merge"), "zone_id")
         .groupBy("point_id", "zone_id")
         .agg(F.count_if(spans & (F.col("px") < at)).alias("crossings"))
         .where(F.col("crossings") % 2 == 1)
@@ -294,11 +314,11 @@ def seed_distance(vertices: DataFrame, seeds: DataFrame) -> DataFrame:
         .select(F.col("point_id").alias("zone_id"))
         .unionByName(points_inside(seed_points, vertices).select("zone_id"))
         .unionByName(seed_ids)
-        .select("zone_id", F.lit(0.0).alias("distance"))
+        .distinct()
     )
     return (
-        boundary_distance(vertices, seeds)
-        .unionByName(nested)
+        boundary_distance(vertices, seeds, nested)
+        .unionByName(nested.select("zone_id", F.lit(0.0).alias("distance")))
         .groupBy("zone_id")
         .agg(F.round(F.min("distance"), 0).alias("distance_to_seed_ft"))
     )
@@ -312,7 +332,7 @@ def zone_labels(
     Zones without a shape keep null groups.
     """
     flagged = lookup.join(
-        seeds.select("zone_id", F.lit(True).alias("in_cbd")), "zone_id", "left"
+        seeds.select("zone_id", F.lit(True).alias("in_cbd")).hint("merge"), "zone_id", "left"
     ).withColumn("in_cbd", F.coalesce("in_cbd", F.lit(False)))
     distance = F.col("distance_to_seed_ft")
     coarse = (
@@ -328,7 +348,7 @@ def zone_labels(
     )
     near = F.when(distance <= cfg.near_distance_ft, "control_near").otherwise("control_far")
     return (
-        flagged.join(seed_distance(vertices, seeds), "zone_id", "left")
+        flagged.join(seed_distance(vertices, seeds).hint("merge"), "zone_id", "left")
         .withColumn("zone_group", coarse)
         .withColumn(
             "zone_group_fine",

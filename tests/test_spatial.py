@@ -139,3 +139,51 @@ def test_no_cross_join_is_planned(spark):
     result = spatial.seed_distance(data, seeds(spark, 1))
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def broadcast_rows(frame):
+    """The plan that ran, and the rows of its broadcasts, largest first."""
+    frame.collect()
+    plan, rows = frame._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "BroadcastExchangeExec":
+            rows.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.length()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return sorted(rows, reverse=True)
+
+
+def test_vertices_are_not_broadcast_and_dense_seeds_take_a_deeper_tree(spark):
+    """Explosions hide the size of a vertex table, so a broadcast of it could take the driver's memory."""
+    key = F.col("id")
+    corner = F.array(*[F.struct(F.lit(0).alias("ring"), F.lit(i).alias("seq"), (key % 200 * 30 + dx).cast("double").alias("x"), (F.floor(key / 200) * 30 + dy).cast("double").alias("y")) for i, (dx, dy) in enumerate(square(0, 0))])
+    data = spark.range(6000).select(key.alias("zone_id"), F.explode(corner).alias("v")).select("zone_id", "v.*")
+    chosen = spark.range(6000).where("id % 200 < 60").select(key.alias("zone_id"))
+    found = spatial.seed_distance(data, chosen)
+    assert max(broadcast_rows(found), default=0) <= 4**spatial.TILE_LEVELS
+    expected = F.when(key % 200 < 60, 0).otherwise((key % 200 - 59) * 30 - 10).cast("double")
+    wrong = found.join(spark.range(6000).select(key.alias("zone_id"), expected.alias("d")), "zone_id").where("d <> distance_to_seed_ft")
+    assert found.count() == 6000 and wrong.count() == 0
+
+
+def test_far_zones_keep_few_candidate_edges(spark):
+    """A tile's ends bound the distance closely: a far zone isn't paired with a rim of seeds."""
+    shapes = {i: [square(i % 40 * 20, i // 40 * 20)] for i in range(1600)} | {9000 + i: [square(9000, 37 * i)] for i in range(20)}
+    data = table(spark, shapes)
+    seeds = spark.range(1600).withColumnRenamed("id", "zone_id")
+    found = spatial.boundary_distance(data, seeds, seeds)
+    rows = {r.zone_id: r.distance for r in found.collect()}
+    assert set(rows) == {9000 + i for i in range(20)}
+    for i in range(20):
+        y = 37 * i
+        apart = min(max(20 * j - y - 10, y - 20 * j - 10, 0) for j in range(40))
+        assert math.isclose(rows[9000 + i], math.hypot(9000 - 790, apart))
