@@ -114,6 +114,24 @@ def test_many_files_are_profiled_in_one_scan(spark, tmp_path):
     assert plan.count("MapInPandas") == 1 and "Union" not in plan and "FileScan" not in plan
 
 
+def test_a_folder_of_parts_is_profiled_as_one_table(spark, tmp_path):
+    spark.range(300).repartition(7).write.parquet(str(tmp_path / "trips_1.parquet"))
+    spark.range(5).selectExpr("id", "id as b").coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    found = files.table_profile(spark, [str(tmp_path / "trips_1.parquet"), str(tmp_path / "one.parquet") + "/"])
+    rows = sorted((r.file, r.service, r.rows, r.columns) for r in found.collect())
+    assert rows == [("one.parquet", "one", 5, 2), ("trips_1.parquet", "trips", 300, 1)]
+
+
+def test_file_profile_query_has_one_row_for_a_table_of_parts(spark, tmp_path):
+    from stepchange.plans import catalog
+
+    for name, width in catalog.FILES.items():
+        wide = spark.range(20).select(*[F.col("id").alias(f"c{i}") for i in range(width)])
+        wide.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = {(r.file, r.service, r.rows, r["columns"]) for r in catalog.file_profile(spark, str(tmp_path)).collect()}
+    assert rows == {(f"{name}.parquet", name, 20, width) for name, width in catalog.FILES.items()}
+
+
 def test_a_lost_writer_leaves_the_published_version(spark, tmp_path):
     path = str(tmp_path / "table")
     assert files.published(spark, path) is None
