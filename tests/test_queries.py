@@ -49,3 +49,8 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["did_poisson", "event_study"])
 def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_a_zone_is_one_row_of_the_join_of_visited_zones(spark):
+    plan = QUERIES["flag_cardinality"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [LocationID" in plan[plan.index("LeftSemi") :]
