@@ -51,6 +51,31 @@ def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_trips_are_staged_without_a_shuffle_of_wide_rows(spark, monkeypatch):
+    from stepchange.plans import driver_tables
+    from stepchange.sources import files
+
+    monkeypatch.setattr(files, "TASK_MB", 0.01)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        joined = driver_tables.trips(spark, FOLDER)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        # More line items than the session's partitions should sort are dealt out wider, once
+        sides = [line for line in plan.splitlines() if "l_extendedprice" in line and "FileScan" in line]
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_" in line]
+        assert len(sides) == 1 and len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+        assert "hashpartitioning(l_orderkey" in dealt[0] and "hashpartitioning(l_orderkey#" in plan
+        assert int(dealt[0].split(", ")[1].rstrip(")")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Customers meet orders, not line items
+        assert plan.index("l_extendedprice") < plan.index("c_custkey")
+        above = plan[: plan.index("Exchange hashpartitioning(l_orderkey")]
+        assert "c_custkey" not in above
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The stage is written by the tasks that joined: no folder a month
+    assert not any("file_month=" in name for name in catalog.stage(spark, FOLDER).inputFiles())
+
+
 def test_a_zone_is_one_row_of_the_join_of_visited_zones(spark):
     plan = QUERIES["flag_cardinality"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [LocationID" in plan[plan.index("LeftSemi") :]
