@@ -262,3 +262,33 @@ def test_stages_are_stored_once_and_again_after_a_change(spark, tmp_path):
     assert len(built) == 1
     spark.range(7).write.mode("overwrite").parquet(source)
     assert get().count() == 7 and len(built) == 2
+
+
+def test_stages_are_written_in_short_methods_and_once_for_all_threads(spark, tmp_path):
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from stepchange.sources import staged
+
+    stages, built, limits = staged.Stages(), [], []
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    source = str(tmp_path / "in")
+    spark.range(5).write.parquet(source)
+
+    def build():
+        built.append(1)
+        time.sleep(1)
+        return spark.read.parquet(source)
+
+    def write(table, path):
+        limits.append(int(spark.conf.get(name)))
+        staged.write_whole(table, path)
+
+    def get(_):
+        return stages.get(spark, "t", [source], build, lambda: str(tmp_path / f"out{len(built)}"), write).count()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(get, range(2))) == [5, 5]
+    assert len(built) == 1 and limits == [8000]
+    assert spark.conf.get(name) == before
