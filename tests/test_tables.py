@@ -140,6 +140,28 @@ def test_close_values_of_a_hot_group_are_spread(spark):
     assert parts.agg(F.max("n")).first()[0] < 50_000 and parts.agg(F.sum("d")).first()[0] == 5_000_000
 
 
+def test_values_of_a_large_group_do_not_move(spark):
+    # 300,000 values of one group: counts of parts are shuffled, and the values of a rank's part
+    measures = {"v": F.rand(3) * 100, "w": F.rand(4) * 100}
+    data = spark.range(300_000, numPartitions=4).select(F.lit("a").alias("k"), *[m.alias(n) for n, m in measures.items()])
+    found = exact_quantiles(data, ["k"], {n: F.col(n) for n in measures}, [0.25, 0.5])
+    rows = found.collect()
+    moved, nodes = [], [found._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            moved.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert moved and max(moved) < 150_000
+    values = {n: sorted(getattr(r, n) for r in data.collect()) for n in measures}
+    assert [getattr(rows[0], n) for n in measures] == [[v[74_999], v[149_999]] for v in values.values()]
+
+
 def test_counts_and_small_medians_come_from_one_pass(spark, tmp_path):
     spark.range(4000).select((F.col("id") % 7).alias("k"), (F.col("id") % 101).cast("double").alias("v")).write.parquet(str(tmp_path / "t"))
     data = spark.read.parquet(str(tmp_path / "t"))
