@@ -82,6 +82,21 @@ def test_forecast_splits_leave_the_first_days_out(table, fitted):
     assert model.rows.where("is_train").agg(F.max("date")).first()[0].year == 2023
 
 
+def test_registered_forecasts_take_all_rounds_of_the_study(spark, monkeypatch):
+    from stepchange.plans import catalog, catalog_models
+
+    asked = []
+    monkeypatch.setattr(catalog_models, "_FITS", {})
+    monkeypatch.setattr(catalog_models.staged, "fingerprint", lambda *_: "")
+    monkeypatch.setattr(catalog, "kept_model_table", lambda *_: None)
+    for fit in ("year_split", "forecast"):
+        monkeypatch.setattr(forecast, fit, lambda table, target, cfg, params: asked.append(params) or (None, None))
+    for kind in ("year", "toll"):
+        catalog_models._fits(spark, "", kind)
+    # The study's 300 trees of 63 leaves and steps of 0.1, for both targets
+    assert [(p.rounds, p.learning_rate, p.leaves) for p in asked] == [(300, 0.1, 63)] * 4
+
+
 def test_shapley_values_add_up_to_the_score(fitted):
     model, _ = fitted
     rows = model.rows.where("not is_train")
