@@ -3,15 +3,17 @@
 Training rows are dealt to tasks once and kept there as small whole numbers
 (bins) with their scores. A step of a tree's growth is one job: tasks sum
 gradients and curvatures by node, input and bin, a few kilobytes a node, and the
-driver searches splits on the totals. No row moves after the first deal. Scoring
-is an ordinary pass over all rows with the trees as a table of nodes.
+driver searches splits on the totals. No row moves after the first deal. Rows
+that one task can hold are grown on by that task in the same way, without a job
+a step. Scoring is an ordinary pass over all rows with the trees as a table of
+nodes.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -37,8 +39,8 @@ class BoostParams:
     rounds: int = 300
     learning_rate: float = 0.1
     leaves: int = 63
-    # Splits on the way to a leaf at most
-    depth: int = 32
+    # Splits on the way to a leaf at most: as many as 63 leaves can have
+    depth: int = 62
     min_rows: int = 20
     # A leaf moves the score, a logarithm, by at most so much before the learning rate
     max_step: float = 0.7
@@ -49,6 +51,8 @@ class BoostParams:
     # Rows that a task should have, at least and at most
     task_rows: int = 50_000
     most_rows: int = 1_000_000
+    # Rows up to which one task fits alone: a job takes 0.1 s and a tree about 13 of them, however few the rows
+    alone_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -164,6 +168,20 @@ class Block:
     score: np.ndarray
 
 
+def _block(batches: Iterable[pa.RecordBatch], binning: Binning, base: float) -> Block | None:
+    """A task's rows, if it has any."""
+    bins, actual = [], []
+    for batch in batches:
+        data = batch.to_pandas()
+        bins.append(binning.bins(data))
+        actual.append(data["actual"].to_numpy(float))
+    if not bins:
+        return None
+    target = np.concatenate(actual)
+    # By column, as trees read them
+    return Block(np.asfortranarray(np.concatenate(bins)), target, np.full(len(target), base))
+
+
 def _with_trees(trees: Sequence[PackedTree], rate: float, block: Block) -> Block:
     score = block.score.copy()
     for tree in trees:
@@ -383,6 +401,97 @@ class Ensemble:
         )
 
 
+class Dealt:
+    """Training rows spread over tasks: a step is a job, and tasks find their rows' leaves from the tree."""
+
+    def __init__(self, blocks, loss: Loss, grower: Grower):
+        self.first = self.blocks = blocks.persist(KEPT)
+        self.stale = []
+        self.loss, self.grower, self.params = loss, grower, grower.params
+
+    def _total(self, task) -> np.ndarray:
+        # Sums of a few nodes, as many as tasks: small, and added in the tasks' order
+        return sum(self.blocks.map(task).collect())
+
+    def root(self) -> np.ndarray:
+        return self._total(partial(_root_sums, self.loss, self.grower.offsets, self.grower.width))
+
+    def nodes(self, tree: PackedTree, wanted: np.ndarray) -> np.ndarray:
+        return self._total(partial(_node_sums, self.loss, self.grower.offsets, self.grower.width, tree, wanted))
+
+    def add(self, trees: Sequence[PackedTree]) -> None:
+        """The scores with the last tree."""
+        # The chain of scores is cut at times: scores follow from the trees
+        again = len(trees) % self.params.checkpoint_every == 0
+        source, new = (self.first, list(trees)) if again else (self.blocks, [trees[-1]])
+        last, self.blocks = self.blocks, source.map(partial(_with_trees, new, self.params.learning_rate)).persist(KEPT)
+        if last is not self.first:
+            self.stale.append(last)
+        while len(self.stale) > 1:
+            self.stale.pop(0).unpersist()
+
+    def release(self) -> None:
+        for held in (*self.stale, self.blocks, self.first):
+            held.unpersist()
+
+
+class Held:
+    """Training rows of one task, by node of the tree that grows: a step reads the rows of the nodes it splits."""
+
+    def __init__(self, block: Block, loss: Loss, grower: Grower):
+        self.block, self.loss, self.grower = block, loss, grower
+
+    def _sums(self, rows: np.ndarray | slice) -> np.ndarray:
+        out = np.zeros((3, self.grower.width))
+        g, h = self.g[rows], self.h[rows]
+        for feature, (offset, size) in enumerate(zip(self.grower.offsets, self.grower.sizes)):
+            at = self.block.bins[:, feature][rows].astype(np.intp)
+            out[0, offset : offset + size] = np.bincount(at, g, size)
+            out[1, offset : offset + size] = np.bincount(at, h, size)
+            out[2, offset : offset + size] = np.bincount(at, minlength=size)
+        return out
+
+    def root(self) -> np.ndarray:
+        self.g, self.h, unit = self.loss(self.block.actual, self.block.score)
+        self.rows = {0: np.arange(len(unit))}
+        return np.append(self._sums(slice(None)).ravel(), [unit.sum(), len(unit)])
+
+    def nodes(self, tree: PackedTree, wanted: np.ndarray) -> np.ndarray:
+        for node in list(self.rows):
+            feature, bin_, left, right, _, _ = tree.nodes[node].tolist()
+            if feature >= 0:
+                rows = self.rows.pop(node)
+                column, members = self.block.bins[:, feature][rows], tree.members[node]
+                goes = np.frombuffer(members, bool)[column] if members else column <= bin_
+                self.rows[left], self.rows[right] = rows[goes], rows[~goes]
+        return np.stack([self._sums(self.rows[node]) for node in wanted.tolist()])
+
+    def add(self, trees: Sequence[PackedTree]) -> None:
+        """The scores with the last tree."""
+        self.block = _with_trees(trees[-1:], self.grower.params.learning_rate, self.block)
+
+
+def _grow(rows: Dealt | Held, grower: Grower) -> list[PackedTree]:
+    """The trees of a fit, one a round."""
+    trees, before = [], np.inf
+    while True:
+        added = rows.root()
+        now = added[-2] / max(added[-1], 1.0)
+        if trees and not now <= before:
+            # A fit that has converged: the tree that no longer helps is left out
+            trees.pop()
+            break
+        if len(trees) == grower.params.rounds:
+            break
+        before = now
+        tree = grower.tree(added[:-2].reshape(3, grower.width), rows.nodes)
+        if len(tree.nodes) == 1:
+            break
+        trees.append(tree)
+        rows.add(trees)
+    return trees
+
+
 def boost_trees(
     train: DataFrame,
     categorical: Sequence[str],
@@ -394,8 +503,9 @@ def boost_trees(
 ) -> Ensemble:
     """Fit trees to the training rows, which have the inputs and ``actual``; ``keys`` tell rows apart.
 
-    The driver has trees and sums: rounds x leaves and nodes x bins, whatever the
-    rows. Scores are never collected.
+    Of up to ``alone_rows`` rows one task makes the trees. Of more, the driver has
+    trees and sums: rounds x leaves and nodes x bins, whatever the rows. Scores are
+    never collected.
     """
     spark = train.sparkSession
     binning = find_bins(train, categorical, numeric, params.bins)
@@ -405,53 +515,29 @@ def boost_trees(
         F.col("actual").cast("double").alias("actual"),
         F.xxhash64(*keys).alias("deal"),
     )
-    rows = inputs.count()
+    rows, grower = inputs.count(), Grower(binning, params)
+    alone = rows <= params.alone_rows
     slots = spark.sparkContext.defaultParallelism
     tasks = max(1, min(max(slots, -(-rows // params.most_rows)), -(-rows // params.task_rows)))
     # Dealt by key and in one order, so that a repeated task adds the same numbers up in the same order
-    dealt = inputs.repartition(tasks, "deal").sortWithinPartitions("deal", *binning.names, "actual").drop("deal")
+    dealt = inputs.repartition(1 if alone else tasks, "deal")
+    dealt = dealt.sortWithinPartitions("deal", *binning.names, "actual").drop("deal")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = [batch.to_pandas() for batch in batches]
-        if frames:
-            data = pd.concat(frames)
-            actual = data["actual"].to_numpy(float)
-            # By column, as trees read them
-            block = Block(np.asfortranarray(binning.bins(data)), actual, np.full(len(actual), base))
+        block = _block(batches, binning, base)
+        if block is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
 
-    first = dealt.mapInArrow(packed, "block binary").rdd.map(lambda row: pickle.loads(row.block)).persist(KEPT)
-    blocks, stale = first, []
-    model, grower, before = Ensemble(binning, base, params.learning_rate), Grower(binning, params), np.inf
-    shape = (3, grower.width)
-
-    def total(task) -> np.ndarray:
-        # Sums of a few nodes, as many as tasks: small, and added in the tasks' order
-        return sum(blocks.map(task).collect())
-
-    while True:
-        added = total(partial(_root_sums, loss, grower.offsets, grower.width))
-        now = added[-2] / max(added[-1], 1.0)
-        if model.trees and not now <= before:
-            # A fit that has converged: the tree that no longer helps is left out
-            model.trees.pop()
-            break
-        if len(model.trees) == params.rounds:
-            break
-        before = now
-        ask = lambda tree, wanted: total(partial(_node_sums, loss, grower.offsets, grower.width, tree, wanted))
-        tree = grower.tree(added[:-2].reshape(shape), ask)
-        if len(tree.nodes) == 1:
-            break
-        model.trees.append(tree)
-        # The chain of scores is cut at times: scores follow from the trees
-        again = len(model.trees) % params.checkpoint_every == 0
-        source, trees = (first, list(model.trees)) if again else (blocks, [tree])
-        last, blocks = blocks, source.map(partial(_with_trees, trees, params.learning_rate)).persist(KEPT)
-        if last is not first:
-            stale.append(last)
-        while len(stale) > 1:
-            stale.pop(0).unpersist()
-    for held in (*stale, blocks, first):
-        held.unpersist()
-    return model
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _block(batches, binning, base)
+        if block is not None:
+            yield trees_batch(_grow(Held(block, loss, grower), grower))
+
+    if alone:
+        trees = trees_of(dealt.mapInArrow(grown, NODE_SCHEMA).toArrow())
+    else:
+        blocks = dealt.mapInArrow(packed, "block binary").rdd.map(lambda row: pickle.loads(row.block))
+        spread = Dealt(blocks, loss, grower)
+        trees = _grow(spread, grower)
+        spread.release()
+    return Ensemble(binning, base, params.learning_rate, trees)

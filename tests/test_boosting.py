@@ -104,6 +104,25 @@ def test_rows_of_a_fit_in_spark_are_those_of_one_in_one_place(spark):
     assert all((a.nodes == b.nodes).all() and a.members == b.members for a, b in zip(table, fits[0].trees))
 
 
+@pytest.mark.parametrize("target", forecast.LOSSES)
+def test_one_task_grows_the_trees_that_many_tasks_grow(spark, target):
+    frame = spark.createDataFrame(inputs(3000, 8).assign(key=range(3000))).repartition(5)
+    alone = replace(PARAMS, rounds=12, task_rows=500, checkpoint_every=5, alone_rows=3000)
+    fits = []
+    for params in (alone, replace(alone, alone_rows=2999)):
+        before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+        fits.append(boosting.boost_trees(frame, ["zone"], ["wind", "usual"], forecast.LOSSES[target], 0.5, params, ["key"]))
+        jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before
+        # A step is a job only if rows are spread
+        assert (jobs > 12 * 3) == (params is not alone)
+    assert [len(fit.trees) for fit in fits] == [12, 12]
+    for one, other in zip(*(fit.trees for fit in fits)):
+        for name in ("feature", "bin", "left", "right", "cover"):
+            assert (one.nodes[name] == other.nodes[name]).all()
+        assert one.members == other.members
+        assert one.nodes["value"] == pytest.approx(other.nodes["value"], rel=1e-9)
+
+
 def test_unknown_and_missing_values_have_bins_of_their_own():
     own = binning()
     bins = own.bins(pd.DataFrame({"zone": ["3", "x", None], "wind": [0.0, np.nan, 99.0], "usual": [0.0, 0.5, np.nan]}))
