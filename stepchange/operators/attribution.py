@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import factorial
 
 import numpy as np
@@ -96,36 +96,50 @@ def shapley_values(x: np.ndarray, leaves: list[Leaf], rates: list[list[float]])
     the feature is known, its pass rate if not. The Shapley weights of such a
     product follow from its elementary symmetric sums.
     """
-    values = np.zeros(x.shape)
+    values, sides = np.zeros(x.shape), {}
+
+    def holds(condition: Condition) -> np.ndarray:
+        # Leaves share their splits
+        split = condition.feature, condition.threshold, condition.categories
+        if split not in sides:
+            sides[split] = replace(condition, left=True).holds(x)
+        return sides[split] if condition.left else ~sides[split]
+
     for leaf, rate in zip(leaves, rates):
         grouped = _by_feature(leaf)
         if not grouped or leaf.value == 0:
             continue
-        ones, zeros = [], []
-        for positions in grouped.values():
-            holds = np.ones(len(x), bool)
-            for position in positions:
-                holds &= leaf.path[position].holds(x)
-            ones.append(holds.astype(float))
-            zeros.append(float(np.prod([rate[position] for position in positions])))
-        m = len(ones)
-        for index, feature in enumerate(grouped):
-            # sums[s]: total over subsets of size s of the other features
-            sums = [np.ones(len(x))] + [np.zeros(len(x)) for _ in range(m - 1)]
-            for other in range(m):
-                if other == index:
-                    continue
-                for size in range(m - 1, 0, -1):
-                    sums[size] = sums[size] * zeros[other] + sums[size - 1] * ones[other]
-                sums[0] = sums[0] * zeros[other]
-            weighted = sum(
-                factorial(size) * factorial(m - size - 1) / factorial(m) * sums[size]
-                for size in range(m)
-            )
-            values[:, feature] += leaf.value * (ones[index] - zeros[index]) * weighted
+        held = [np.logical_and.reduce([holds(leaf.path[p]) for p in positions]) for positions in grouped.values()]
+        zeros = np.array([np.prod([rate[p] for p in positions]) for positions in grouped.values()])
+        if 2 ** len(zeros) < len(x):
+            # Rows that pass the same features have the same values
+            kinds = np.arange(2 ** len(zeros))
+            kind = np.zeros(len(x), np.intp)
+            for bit, own in enumerate(held):
+                kind += own.astype(np.intp) << bit
+            found = np.zeros((len(kinds), x.shape[1]))
+            found[:, list(grouped)] = leaf.value * _leaf_values(kinds >> np.arange(len(zeros))[:, None] & 1, zeros).T
+            values += found.take(kind, axis=0)
+        else:
+            values[:, list(grouped)] += leaf.value * _leaf_values(np.stack(held), zeros).T
     return values
 
 
+def _leaf_values(held: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf of value 1 by feature and row; ``held`` tells which features a row passes."""
+    ones, m = held.astype(float), len(zeros)
+    # By size and feature: total over subsets of that size of the other features
+    sums = np.zeros((m, m, ones.shape[1]))
+    sums[0] = 1.0
+    for other in range(m):
+        zero, one = np.full((m, 1), zeros[other]), np.tile(ones[other], (m, 1))
+        zero[other], one[other] = 1.0, 0.0
+        sums[1:] = sums[1:] * zero + sums[:-1] * one
+        sums[0] *= zero
+    weights = [factorial(size) * factorial(m - size - 1) / factorial(m) for size in range(m)]
+    return (ones - zeros[:, None]) * np.tensordot(weights, sums, 1)
+
+
 @dataclass(frozen=True)
 class Explained:
     """A tree as leaves, pass rates of their paths, and its mean over the training rows."""

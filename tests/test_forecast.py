@@ -108,6 +108,16 @@ def test_shapley_values_add_up_to_the_score(fitted):
     assert importance[0].mean_abs_shap == max(r.mean_abs_shap for r in importance)
 
 
+def test_shapley_values_of_few_rows_are_those_among_many(fitted):
+    model, _ = fitted
+    own = attribution.Explained.of(model.model.trees[0])
+    sizes = model.model.binning.sizes
+    bins = np.stack([np.random.default_rng(i).integers(0, n, 500) for i, n in enumerate(sizes)], axis=1)
+    assert any(leaf.path for leaf in own.leaves)
+    for few in (1, 4):
+        assert own.values(bins[:few]) == pytest.approx(own.values(bins)[:few], abs=1e-12)
+
+
 def test_shapley_values_match_every_subset():
     def split(feature, threshold, left):
         return attribution.Condition(feature, threshold, frozenset(), left)
