@@ -520,7 +520,7 @@ def boost_trees(
     slots = spark.sparkContext.defaultParallelism
     tasks = max(1, min(max(slots, -(-rows // params.most_rows)), -(-rows // params.task_rows)))
     # Dealt by key and in one order, so that a repeated task adds the same numbers up in the same order
-    dealt = inputs.repartition(1 if alone else tasks, "deal")
+    dealt = inputs.repartition(1) if alone else inputs.repartition(tasks, "deal")
     dealt = dealt.sortWithinPartitions("deal", *binning.names, "actual").drop("deal")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
